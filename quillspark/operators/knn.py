@@ -1,0 +1,174 @@
+"""The k most similar vectors of every vector: inverted file with product-quantised residuals.
+
+Vectors are scaled to length 1. Coarse centroids and residual codebooks are fitted on a bounded
+sample; every vector is then assigned to its nearest centroid and coded. A query visits the
+``probes`` nearest lists; in a list all entries are scored by asymmetric distance tables (query
+against codewords), the best ``rerank`` are scored again with the exact vectors, and the k best
+over all lists remain. Lists are cut into blocks of bounded size by a hash of the vector, so a hot
+list becomes many tasks.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+K, SAMPLE, PARTS, CODES, PROBES, RERANK, BLOCK = 5, 20_000, 8, 256, 24, 48, 4096
+
+
+@dataclass
+class Codebooks:
+    """Coarse centroids (lists x d) and residual codewords (parts x codes x d / parts)."""
+
+    centroids: np.ndarray
+    codewords: np.ndarray
+
+
+def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """Centroids by Lloyd's rounds from distinct random rows; an empty cluster keeps its centroid."""
+    rng = np.random.default_rng(seed)
+    centre = x[rng.choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        near = np.argmin((centre**2).sum(1)[None] - 2 * x @ centre.T, axis=1)
+        count = np.bincount(near, minlength=k)
+        total = np.zeros_like(centre)
+        np.add.at(total, near, x)
+        centre[count > 0] = total[count > 0] / count[count > 0, None]
+    return centre
+
+
+def fit(sample: np.ndarray, lists: int, parts: int, codes: int, seed: int = 7) -> Codebooks:
+    lists = max(1, min(lists, len(sample)))
+    centroids = k_means(sample, lists, 8, seed)
+    near = np.argmin((centroids**2).sum(1)[None] - 2 * sample @ centroids.T, axis=1)
+    residual = (sample - centroids[near]).reshape(len(sample), parts, -1)
+    codes = min(codes, len(sample))
+    return Codebooks(centroids, np.stack([k_means(residual[:, p], codes, 6, seed + p) for p in range(parts)]))
+
+
+def usable(records: DataFrame, size: int) -> DataFrame:
+    """(id, v) of the rows whose vector has ``size`` finite numbers, not all 0. One row per id."""
+    good = (F.size("vector") == size) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    rows = records.select("id", "vector").filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(good, F.lit(False)))
+    return rows.groupBy("id").agg(F.min(F.col("vector").cast("array<float>")).alias("v"))
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Rows of 32-bit numbers as rows of length 1 (64-bit)."""
+    x = rows.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the square
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _assign(books: Codebooks, probes: int):
+    """mapInPandas: adds the query's lists, nearest first, and the codes of the residual in the first."""
+
+    def run(batches):
+        c, w = books.centroids, books.codewords
+        parts, _, width = w.shape
+        for batch in batches:
+            if not len(batch):
+                continue
+            raw = np.stack(batch["v"].to_numpy()).astype(np.float32)
+            x = _units(raw).astype(np.float32)
+            score = (c**2).sum(1)[None] - 2 * x @ c.T
+            take = min(probes, len(c))
+            near = np.argpartition(score, take - 1, axis=1)[:, :take]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(score, near, 1), axis=1), 1)
+            residual = (x - c[near[:, 0]]).reshape(len(x), parts, width)
+            code = np.stack([np.argmin((w[p] ** 2).sum(1)[None] - 2 * residual[:, p] @ w[p].T, axis=1) for p in range(parts)], 1).astype(np.uint8)
+            yield pd.DataFrame({"cls": batch["cls"], "v": [r.tobytes() for r in raw], "code": [r.tobytes() for r in code], "lists": list(near.astype(np.int32))})
+
+    return run
+
+
+def _search(books: Codebooks, k: int, rerank: int):
+    """One block of base rows against one block of queries of the same list: the k best of each query."""
+
+    def run(key, queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(base):
+            return pd.DataFrame({"cls": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        w = books.codewords
+        parts, codes, width = w.shape
+        exact = _units(np.stack([np.frombuffer(r, np.float32) for r in base["v"]]))
+        code = np.stack([np.frombuffer(r, np.uint8) for r in base["code"]])
+        x_all, own, theirs = _units(np.stack([np.frombuffer(r, np.float32) for r in queries["q_v"]])), queries["q_cls"].to_numpy(), base["cls"].to_numpy()
+        take, out = min(rerank + 1, len(base)), []
+        for begin in range(0, len(x_all), 256):
+            x = x_all[begin : begin + 256]
+            table = np.einsum("qpw,pcw->qpc", x.reshape(len(x), parts, width).astype(np.float32), w, optimize=True)
+            score = np.zeros((len(x), len(base)), np.float32)
+            for p in range(parts):
+                score += np.take(table[:, p], code[:, p], axis=1)
+            best = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < len(base) else np.tile(np.arange(len(base)), (len(x), 1))
+            similarity = np.einsum("qd,qrd->qr", x, exact[best])
+            similarity[theirs[best] == own[begin : begin + 256, None]] = -np.inf
+            keep = min(k, take)
+            top = np.argpartition(-similarity, keep - 1, axis=1)[:, :keep] if keep < take else np.tile(np.arange(take), (len(x), 1))
+            rows = np.arange(len(x))[:, None]
+            out.append(pd.DataFrame({"cls": np.repeat(own[begin : begin + 256], keep), "other": theirs[best[rows, top]].ravel(), "similarity": similarity[rows, top].ravel()}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["similarity"])]
+
+    return run
+
+
+def neighbours(records: DataFrame, k: int = K, size: int = 48, sample: int = SAMPLE, probes: int = PROBES, rerank: int = RERANK, block: int = BLOCK, lists: int | None = None) -> DataFrame:
+    """(id, rank, other, similarity): the k most cosine-similar other ids of every usable vector.
+
+    Only vectors of ``size`` finite numbers, not all 0, with an id take part; a repeated id counts
+    once. Equal vectors form one class that is searched once; the members of a class are neighbours
+    of each other first, the smaller id first. At most 1 + k ids of a class can be among anyone's
+    neighbours, so larger classes cost nothing more. Fewer than k others give fewer rows. Of equally
+    similar records the smaller id goes first. ``sample`` bounds the rows the index is fitted on (every row
+    is indexed); ``lists`` defaults to about the root of the number of rows, at most a 16th of the sample.
+    """
+    from quillspark.session import cut_lineage
+
+    rows = usable(records, size).withColumn("cls", F.xxhash64("v"))
+    members = cut_lineage(rows)
+    first = members.groupBy("cls").agg(F.min("v").alias("v"))
+    total = members.count()
+    lists = lists or max(1, min(int(2 * total**0.5), sample // 16))
+    drawn = members.select("v").orderBy(F.xxhash64("v", F.lit(11))).limit(sample).toPandas()["v"]
+    if not len(drawn):
+        return records.sparkSession.createDataFrame([], f"id {dict(records.dtypes)['id']}, rank int, other {dict(records.dtypes)['id']}, similarity double")
+    books = fit(_units(np.stack(drawn.to_numpy())).astype(np.float32), lists, PARTS, CODES)
+    coded = cut_lineage(first.mapInPandas(_assign(books, probes), "cls long, v binary, code binary, lists array<int>"))
+
+    # Blocks of a list: as many as its rows need.
+    sizes = coded.groupBy(F.col("lists")[0].alias("list")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    salt = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), n).cast("int")
+    base = coded.withColumn("list", F.col("lists")[0]).join(sizes, "list").select("list", salt(F.col("blocks"), 1).alias("b"), "cls", "v", "code")
+    visits = coded.select("cls", "v", F.explode("lists").alias("list"))
+    q_sizes = visits.groupBy("list").agg(F.ceil(F.count("*") / (block * 4)).cast("int").alias("parts"))
+    visits = visits.join(sizes, "list").join(q_sizes, "list")
+    visits = visits.select("list", "cls", "v", salt(F.col("parts"), 2).alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    visits = visits.toDF("q_list", "q_cls", "q_v", "q_q", "q_b")
+    base = base.join(q_sizes, "list").select("list", "b", "cls", "v", "code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    found = visits.groupBy("q_list", "q_b", "q_q").cogroup(base.groupBy("list", "b", "q")).applyInPandas(_search(books, k, rerank), "cls long, other long, similarity double")
+
+    # The k + 1 smallest ids of a class can be neighbours; ties beyond the k-th class go by id as well.
+    ranked = Window.partitionBy("cls").orderBy("id")
+    few = members.select("id", "cls").withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= k + 1).drop("n")
+    best = Window.partitionBy("cls").orderBy(F.desc("similarity"))
+    near = found.withColumn("n", F.rank().over(best)).filter(F.col("n") <= k).drop("n")
+    own = first.select("cls", F.col("cls").alias("other"), F.lit(1.0).alias("similarity"))
+    near = near.unionByName(own)
+    options = near.join(few.select(F.col("cls").alias("other"), F.col("id").alias("other_id")), "other").select("cls", "other_id", "similarity")
+    top = Window.partitionBy("cls").orderBy(F.desc("similarity"), "other_id")
+    options = options.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + 1)
+    lists_of = options.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "other_id", "similarity"))).alias("near"))
+    joined = members.select("id", "cls").join(lists_of, "cls")
+    kept = F.slice(F.filter("near", lambda x: x["other_id"] != F.col("id")), 1, k)
+    return joined.select("id", F.posexplode(kept).alias("p", "x")).select("id", (F.col("p") + 1).alias("rank"), F.col("x.other_id").alias("other"), F.col("x.similarity").alias("similarity"))
+
+
+def neighbour_pairs(records: DataFrame, k: int = K, **options) -> DataFrame:
+    """(id_a < id_b) where one is among the k nearest of the other."""
+    found = neighbours(records, k, **options)
+    return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
