@@ -125,19 +125,23 @@ def _bands(words: int, bands: int, rows: int, multiset: bool):
 def _overlap(words: int, multiset: bool):
     """Pandas: the (weighted) Jaccard similarity of two text columns."""
 
-    @F.pandas_udf("double")
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        hashes, n = WordHashes(), len(a)
-        row, h, count = shingles(a.tolist() + b.tolist(), words, hashes)
+    def part(a: list[str], b: list[str], hashes: WordHashes) -> np.ndarray:
+        n = len(a)
+        row, h, count = shingles(a + b, words, hashes)
         if not multiset:
             count = np.ones_like(count)
         total = np.bincount(row, count, 2 * n)
-        pair = row % n if n else row
+        pair = row % n
         order = np.lexsort((h, pair))
         pair, h, count = pair[order], h[order], count[order]
         same = (pair[1:] == pair[:-1]) & (h[1:] == h[:-1])
         both = np.bincount(pair[1:][same], np.minimum(count[1:], count[:-1])[same], n)
-        return pd.Series(both / np.maximum(total[:n] + total[n:] - both, 1))
+        return both / np.maximum(total[:n] + total[n:] - both, 1)
+
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        hashes, step = WordHashes(), 256
+        return pd.Series(np.concatenate([np.zeros(0), *(part(a[i : i + step].tolist(), b[i : i + step].tolist(), hashes) for i in range(0, len(a), step))]))
 
     return of
 
