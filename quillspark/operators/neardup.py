@@ -14,6 +14,7 @@ anything is paired, so only different texts are compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,17 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.words import WORD, WordHashes, mix64
 
-WORDS, THRESHOLD, ROWS, MISSED = 5, 0.8, 4, 0.005
+WORDS, THRESHOLD, ROWS, AGREE, MISSED = 5, 0.8, 3, 2, 0.005
 _ONE = np.uint64(1)
 
 
-def bands_needed(threshold: float, rows: int = ROWS, missed: float = MISSED) -> int:
-    """Bands of ``rows`` registers so that a pair at the threshold is missed with at most ``missed``."""
-    return int(np.ceil(np.log(missed) / np.log1p(-(threshold**rows))))
+def bands_needed(threshold: float, rows: int = ROWS, agree: int = AGREE, missed: float = MISSED) -> int:
+    """Bands of ``rows`` registers so that a pair at the threshold agrees in fewer than ``agree`` of
+    them with a probability of at most ``missed``."""
+    p, bands = threshold**rows, agree
+    while sum(comb(bands, k) * p**k * (1 - p) ** (bands - k) for k in range(agree)) > missed:
+        bands += 1
+    return bands
 
 
 def shingles(texts: list[str | None], words: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,16 +160,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hashed.select("id", "cls"), hashed.groupBy("cls").agg(F.min("text").alias("text"))
 
 
-def similar_classes(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, rows: int = ROWS, missed: float = MISSED, multiset: bool = True) -> DataFrame:
+def similar_classes(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, rows: int = ROWS, agree: int = AGREE, missed: float = MISSED, multiset: bool = True) -> DataFrame:
     """Pairs (cls_a < cls_b, similarity) of different texts whose similarity is at least the threshold.
 
-    A pair at the threshold is missed with a probability of at most ``missed``; every candidate is
-    checked exactly. ``multiset`` compares bags of shingles, otherwise sets.
+    Pairs that share ``agree`` bands are candidates: a pair at the threshold is missed with a
+    probability of at most ``missed``, and texts that share only a few stock phrases rarely agree
+    twice. Every candidate is checked exactly. ``multiset`` compares bags of shingles, otherwise sets.
     """
-    bands = bands_needed(threshold, rows, missed)
+    bands = bands_needed(threshold, rows, agree, missed)
     banded = texts.mapInArrow(_bands(words, bands, rows, multiset), "cls long, band long")
     left, right = banded.select("band", F.col("cls").alias("cls_a")), banded.select("band", F.col("cls").alias("cls_b"))
-    found = left.join(right.hint("merge"), "band").filter("cls_a < cls_b").select("cls_a", "cls_b").distinct()
+    found = left.join(right.hint("merge"), "band").filter("cls_a < cls_b").groupBy("cls_a", "cls_b").agg(F.count("*").alias("n")).filter(F.col("n") >= agree).drop("n")
     similarity = _overlap(words, multiset)(F.col("text_a"), F.col("text_b"))
     return (
         found.join(texts.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a")), "cls_a")
@@ -174,7 +180,7 @@ def similar_classes(texts: DataFrame, words: int = WORDS, threshold: float = THR
     )
 
 
-def similar_pairs(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, rows: int = ROWS, missed: float = MISSED, multiset: bool = True) -> DataFrame:
+def similar_pairs(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, rows: int = ROWS, agree: int = AGREE, missed: float = MISSED, multiset: bool = True) -> DataFrame:
     """All pairs (id_a < id_b) of a table (id, text) at or above the threshold, copies of equal texts included.
 
     Null ids and texts and texts without a word take no part; repeated rows count once. The pairs of
@@ -182,7 +188,7 @@ def similar_pairs(docs: DataFrame, words: int = WORDS, threshold: float = THRESH
     """
     members, texts = classes(docs.filter(F.col("id").isNotNull()))
     members = members.distinct()
-    pairs = similar_classes(texts, words, threshold, rows, missed, multiset).select("cls_a", "cls_b")
+    pairs = similar_classes(texts, words, threshold, rows, agree, missed, multiset).select("cls_a", "cls_b")
     worded = texts.filter(F.regexp_like("text", F.lit(r"[\p{L}\p{N}]"))).select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     several = members.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("cls").alias("cls_a"))
     linked = pairs.unionByName(worded.join(several, "cls_a", "left_semi"))
@@ -192,7 +198,7 @@ def similar_pairs(docs: DataFrame, words: int = WORDS, threshold: float = THRESH
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, rows: int = ROWS, missed: float = MISSED, multiset: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, rows: int = ROWS, agree: int = AGREE, missed: float = MISSED, multiset: bool = True) -> DataFrame:
     """One row per id of a table (id, text): id, group_id (the smallest id of the group), links, copies.
 
     Groups are the connected components over pairs at or above the threshold; ``links`` counts the
@@ -206,7 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     members, texts = classes(rows_in)
     from quillspark.session import cut_lineage
 
-    pairs = cut_lineage(similar_classes(texts, words, threshold, rows, missed, multiset).select("cls_a", "cls_b"))
+    pairs = cut_lineage(similar_classes(texts, words, threshold, rows, agree, missed, multiset).select("cls_a", "cls_b"))
     component = connected_components(pairs.toDF("a", "b"))
     links = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     per_class = members.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("n"))
