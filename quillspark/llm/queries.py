@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.functions.words import TOKEN_RE2
-from quillspark.llm import lookalike, mixing
+from quillspark.llm import leakage, lookalike, mixing, readability
 from quillspark.sources.tables import table
 
 
@@ -21,6 +21,14 @@ def p2_uniform(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.uniform_text(_texts(spark, folder)).distinct()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked(table(spark, folder, "documents"), leakage.item_texts(table(spark, folder, "eval_cases")))
+
+
+def p6_substituted(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked(table(spark, folder, "documents"), leakage.item_texts(table(spark, folder, "eval_cases")), substitutions=1)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.short_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -33,7 +41,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.reached_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_uniform, p7_found, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return readability.documents_of_level(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return readability.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_uniform, p6_found, p6_substituted, p7_found, p7_mix, p7_shares, p8_found, p8_levels)}
 
 _KEY = "replace(lower(trim(source)), '-', '_')"
 SQL = {
