@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.functions.words import TOKEN_RE2
-from quillspark.llm import leakage, lookalike, mixing, readability
+from quillspark.llm import leakage, lookalike, mixing, ocr, readability
 from quillspark.sources.tables import table
 
 
@@ -13,6 +13,18 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.blocks_and_queries(table(spark, folder, "layout_blocks"), table(spark, folder, "search_requests"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.defects(ocr.lines_of_ocr(table(spark, folder, "ocr_text_blocks"))).withColumnRenamed("line_id", "ocr_id")
+
+
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.paragraphs(ocr.lines_of_ocr(table(spark, folder, "ocr_text_blocks")))
+
+
+def p1_scanned_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.paragraphs(ocr.lines_of_blocks(table(spark, folder, "layout_blocks")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(_texts(spark, folder))
 
@@ -49,7 +61,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
     return readability.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_uniform, p6_found, p6_substituted, p7_found, p7_mix, p7_shares, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_uniform, p6_found, p6_substituted, p7_found, p7_mix, p7_shares, p8_found, p8_levels)}
 
 _KEY = "replace(lower(trim(source)), '-', '_')"
 SQL = {
