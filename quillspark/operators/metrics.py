@@ -48,9 +48,9 @@ def index_percentiles(df: DataFrame, value: str) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    """n, mean and interpolated percentiles of a value by group."""
+    """n, mean and interpolated percentiles of a value by group, rounded to 3 digits."""
     shares = ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))
-    return df.withColumn("_v", value).groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("least"), F.avg("_v").alias("mean"), *(F.percentile("_v", p).alias(name) for p, name in shares), F.max("_v").alias("most"))
+    return df.withColumn("_v", value).groupBy(*by).agg(F.count("_v").alias("n"), *(F.round(e, 3).alias(name) for e, name in ((F.min("_v"), "least"), (F.avg("_v"), "mean"), *((F.percentile("_v", p), name) for p, name in shares), (F.max("_v"), "most"))))
 
 
 def ranking_metrics(rows: DataFrame, by: list[str], cuts: tuple[int, ...] = CUTS) -> DataFrame:

@@ -307,7 +307,7 @@ SQL = {
     "token_distribution": """WITH c AS (SELECT DISTINCT ON (id) token_count AS v FROM chunks), s AS (SELECT list(v ORDER BY v) AS v, count(v) AS n FROM c WHERE v IS NOT NULL)
         SELECT n, v[1] AS least, v[n // 2 + 1] AS median, v[floor((n - 1) * 0.9)::INT + 1] AS p90, v[floor((n - 1) * 0.95)::INT + 1] AS p95, v[n] AS most FROM s""",
     "request_latency": """WITH r AS (SELECT DISTINCT ON (request_id) knowledge_base_id, (epoch_us(received_at) - epoch_us(requested_at)) / 1000.0 AS v FROM search_requests)
-        SELECT knowledge_base_id, count(v) AS n, min(v) AS least, avg(v) AS mean, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99, max(v) AS most FROM r GROUP BY 1""",
+        SELECT knowledge_base_id, count(v) AS n, round(min(v), 3) AS least, round(avg(v), 3) AS mean, round(quantile_cont(v, 0.5), 3) AS p50, round(quantile_cont(v, 0.9), 3) AS p90, round(quantile_cont(v, 0.95), 3) AS p95, round(quantile_cont(v, 0.99), 3) AS p99, round(max(v), 3) AS most FROM r GROUP BY 1""",
     "bm25_search": rf"""WITH {_CASES}, q AS (SELECT query_id, unnest({_WORDS}[:16]) AS word FROM c), t AS (SELECT DISTINCT query_id, lower(word) AS w FROM q),
         d AS (SELECT DISTINCT ON (id) id, regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS a FROM chunks), n AS (SELECT count(*) AS nd, avg(len(a)) AS avgdl FROM d),
         p AS (SELECT id, len(a) AS dl, unnest(a) AS w FROM d), tf AS (SELECT id, w, any_value(dl) AS dl, count(*) AS tf FROM p WHERE w IN (SELECT w FROM t) GROUP BY id, w), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
