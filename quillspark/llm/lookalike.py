@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.session import cut_lineage
+
 # Letters of other scripts that have the glyph of a Latin letter, and that letter.
 CYRILLIC = dict(zip("АВЕКМНОРСТУХІЈЅаеорсухіјѕԁһԛԝӏ", "ABEKMHOPCTYXIJSaeopcyxijsdhqwl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
@@ -136,9 +138,10 @@ def uniform_text(texts: DataFrame) -> DataFrame:
     unknown word still agree. Case, line breaks, the number of spaces and everything else visible stay.
     """
     rows = texts.select("key", "text").withColumn("plain", F.coalesce(_ascii(F.col("text")), F.lit(True)))
-    odd = rows.filter("not plain").select("key", "text").distinct().withColumn("folded", fold_text("text"))
+    odd = rows.filter("not plain").select("text").distinct().withColumn("folded", fold_text("text"))
     odd = odd.withColumn("doubtful", F.when(F.regexp_like("folded", F.lit(r"[\x{370}-\x{52f}]")), _doubtful("folded")))
-    asked = odd.filter(F.size("doubtful") > 0).select("key", "text", F.explode("doubtful").alias("d")).select("key", "text", "d.token", F.posexplode("d.forms").alias("rank", "form"))
+    odd = cut_lineage(odd)
+    asked = odd.filter(F.size("doubtful") > 0).select("text", F.explode("doubtful").alias("d")).select("text", "d.token", F.posexplode("d.forms").alias("rank", "form"))
 
     # The vocabulary: tokens of all texts that are not in doubt themselves. Pure ASCII tokens never are.
     word = F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[A-Za-z][A-Za-z0-9]*"), F.lit(0)))
@@ -146,11 +149,11 @@ def uniform_text(texts: DataFrame) -> DataFrame:
     vocabulary = rows.filter("plain").select("text").distinct().select(word.alias("form")).distinct().unionByName(other.distinct()).distinct()
     vocabulary = vocabulary.join(asked.select("token").distinct().withColumnRenamed("token", "form"), "form", "left_anti")
     forms = asked.select("form").distinct().join(vocabulary.withColumn("seen", F.lit(True)), "form", "left")
-    best = asked.join(forms, "form").groupBy("key", "text", "token").agg(F.min(F.struct(F.when(F.col("seen"), 0).otherwise(1), "rank", "form")).alias("b"))
-    known = best.groupBy("key", "text").agg(F.collect_list(F.struct("token", F.col("b.form").alias("form"))).alias("known"))
-    repaired = odd.join(known, ["key", "text"], "left").select("key", "text", _repaired("folded", "known").alias("form"))
+    best = asked.join(forms, "form").groupBy("text", "token").agg(F.min(F.struct(F.when(F.col("seen"), 0).otherwise(1), "rank", "form")).alias("b"))
+    known = best.groupBy("text").agg(F.collect_list(F.struct("token", F.col("b.form").alias("form"))).alias("known"))
+    repaired = odd.join(known, "text", "left").select("text", _repaired("folded", "known").alias("form"))
     plain = rows.filter("plain").select("key", "text", F.col("text").alias("form"))
-    kept = rows.filter("not plain").select("key", "text").join(repaired, ["key", "text"])
+    kept = rows.filter("not plain").select("key", "text").join(repaired, "text").select("key", "text", "form")
     return plain.unionByName(kept)
 
 

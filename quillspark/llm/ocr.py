@@ -76,7 +76,7 @@ def roles(lines: DataFrame) -> DataFrame:
     manner that recurs in the version, unless it has one page only.
     Lines of a null page or version form a page of their own value null.
     """
-    one = lines.filter("line_id is not null").dropDuplicates(["line_id"])
+    one = lines.select("line_id", "version", "page", "line", "text", "confidence").filter("line_id is not null").dropDuplicates(["line_id"])
     text = F.col("text").isNotNull() & (F.trim("text") != "")
     page = Window.partitionBy("version", "page")
     full = one.filter(text)
