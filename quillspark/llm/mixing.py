@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.words import token_count
 from quillspark.operators.prefix import running_total
+from quillspark.session import cut_lineage
 
 BLOCK = 4096
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -36,6 +37,7 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 
 def _sized(documents: DataFrame) -> DataFrame:
+    """(doc_id, key, tokens), a narrow table that is counted once and read often."""
     return documents.select("doc_id", source_key(F.col("source")).alias("key"), token_count(F.col("text")).cast("long").alias("tokens"))
 
 
@@ -65,7 +67,7 @@ def short_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return source_shares(documents, targets).filter("short").select("source")
 
 
-def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 17, bucket_rows: int = 50_000, slot_rows: int = 50_000) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 17, bucket_rows: int = 50_000, slot_rows: int = 50_000, sized: DataFrame | None = None) -> DataFrame:
     """The mixed selection in order: source, doc_id, copy (from 1), tokens, slot, offset.
 
     Reading by (slot, offset, doc_id) gives the mix. A source's documents are taken in a shuffled
@@ -74,7 +76,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int
     null ids stay. Repeated rows of a doc_id are distinct records. No task holds more than about
     ``bucket_rows`` rows of a source; each target source has one row in the plan.
     """
-    sized = _sized(documents)
+    sized = cut_lineage(_sized(documents)) if sized is None else sized
     plan = source_shares(documents, targets, sized).filter("planned_tokens > 0").select("key", "source", "documents", "tokens", "max_repeats", "planned_tokens")
     plan = plan.withColumn("copies", F.least(F.ceil(F.col("planned_tokens") / F.col("tokens")).cast("int"), "max_repeats"))
     known = sized.filter("tokens > 0").join(plan.select("key", "source", "copies", "planned_tokens", "documents"), "key")
@@ -100,6 +102,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int
 def reached_shares(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
     """Per target source the share it should and really does reach: source, target_share, documents (distinct
     records used), rows, tokens, actual_share, short. Shares of an empty mix are null."""
-    got = mix(documents, targets, **options).groupBy("source").agg(F.count_if(F.col("copy") == 1).alias("documents"), F.count("*").alias("rows"), F.sum("tokens").alias("tokens"))
-    out = source_shares(documents, targets).select("source", "target_share", "short").join(got, "source", "left").fillna(0, ["documents", "rows", "tokens"])
+    sized = cut_lineage(_sized(documents))
+    got = mix(documents, targets, sized=sized, **options).groupBy("source").agg(F.count_if(F.col("copy") == 1).alias("documents"), F.count("*").alias("rows"), F.sum("tokens").alias("tokens"))
+    out = source_shares(documents, targets, sized).select("source", "target_share", "short").join(got, "source", "left").fillna(0, ["documents", "rows", "tokens"])
     return out.withColumn("actual_share", F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy(F.lit(0)))))
