@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Beginnings of lines that name a file.
@@ -108,6 +112,26 @@ def hash_embedding(text: Column, size: int = 32) -> Column:
     return unit(total)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def embed(texts: pd.Series) -> pd.Series:
+    """hash_embedding of size 32 for long texts: each word of a batch is hashed once."""
+    known: dict[str, np.ndarray] = {}
+    out = []
+    for text in texts:
+        if text is None:
+            out.append(None)
+            continue
+        total = np.zeros(32)
+        for word in text.split() or [text]:
+            v = known.get(word)
+            if v is None:
+                v = known[word] = np.frombuffer(hashlib.sha256(word.encode()).digest(), np.uint8) / 255.0 - 0.5
+            total += v
+        norm = np.sqrt(total @ total)
+        out.append((total / norm if norm else total).tolist())
+    return pd.Series(out)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -135,8 +135,8 @@ def hybrid_search(s, d):
     r = table(s, d, "vector_records").select("id", "vector", F.col("payload.knowledge_base_id").alias("knowledge_base_id")).filter("vector is not null and knowledge_base_id is not null").dropDuplicates(["id"])
     # The stored vectors come from a model that isn't here; texts and queries get the hash embedding.
     embedded = _active(s, d)
-    v = embedded.select("id", X.hash_embedding(search.indexed_text(embedded)).alias("vector"), "knowledge_base_id").join(r.select("id"), "id", "left_semi")
-    q = _requests(s, d).withColumn("vector", X.hash_embedding(F.col("query")))
+    v = embedded.select("id", X.embed(search.indexed_text(embedded)).alias("vector"), "knowledge_base_id").join(r.select("id"), "id", "left_semi")
+    q = _requests(s, d).withColumn("vector", X.embed("query"))
     return search.search(q, embedded, _indexed(s, d), v)
 
 

@@ -284,11 +284,13 @@ def parse_bytes(name: str, data: bytes) -> list[Block]:
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in BLOCK.split(", ")]
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            try:
-                rows = [(path, i, b.text, b.page, list(b.section), b.kind, b.source, b.level, b.table, None) for i, b in enumerate(parse_bytes(path, content))]
-            except Exception as e:  # noqa: BLE001 - the error is a result
-                rows = [(path, 0, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+        for begin in range(0, len(batch), 64):
+            rows = []
+            for path, content in zip(batch["path"].iloc[begin : begin + 64], batch["content"].iloc[begin : begin + 64]):
+                try:
+                    rows += [(path, i, b.text, b.page, list(b.section), b.kind, b.source, b.level, b.table, None) for i, b in enumerate(parse_bytes(path, content))]
+                except Exception as e:  # noqa: BLE001 - the error is a result
+                    rows.append((path, 0, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
             frame = pd.DataFrame(rows, columns=names)
             for c in ("page_no", "heading_level"):
                 frame[c] = frame[c].astype("Int32")

@@ -51,6 +51,7 @@ def test_occurrences_and_excerpt(spark):
 
 def test_hash_embedding_by_hand(spark):
     got = column(spark, X.hash_embedding, ["alpha beta", "", "gamma"])
+    assert np.allclose(got, column(spark, X.embed, ["alpha beta", "", "gamma"]))
     for text, vector in zip(["alpha beta", "", "gamma"], got):
         v = np.zeros(32)
         for word in text.split() or [text]:
