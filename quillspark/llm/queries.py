@@ -63,8 +63,23 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_uniform, p6_found, p6_substituted, p7_found, p7_mix, p7_shares, p8_found, p8_levels)}
 
+# The form in SQL: usual characters by rule, invisible ones dropped, look-alikes as Latin letters, composed.
+_WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
+_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_FROM = _WIDE[0] + _SPACES + "".join(lookalike.SAME) + "".join(lookalike.TO_LATIN)
+_TO = _WIDE[1] + " " * len(_SPACES) + "".join(lookalike.SAME.values()) + "".join(lookalike.TO_LATIN.values())
+_FORM = f"translate(regexp_replace(text, '\\p{{Cf}}+', '', 'g'), '{_FROM.replace(chr(39), chr(39) * 2)}', '{_TO.replace(chr(39), chr(39) * 2)}')"
+for _n, _a in enumerate(("ff", "fi", "fl", "ffi", "ffl")):
+    _FORM = f"replace({_FORM}, '{chr(0xFB00 + _n)}', '{_a}')"
+_FORM = f"nfc_normalize({_FORM})"
+
 _KEY = "replace(lower(trim(source)), '-', '_')"
 SQL = {
+    "p2_found": f"""
+        WITH t AS (SELECT DISTINCT 'block-' || block_id AS key, text FROM layout_blocks WHERE text IS NOT NULL
+                   UNION SELECT DISTINCT 'query-' || request_id, query FROM search_requests WHERE query IS NOT NULL),
+        f AS (SELECT key, text, {_FORM} AS form FROM t)
+        SELECT DISTINCT a.key AS key_a, b.key AS key_b FROM f a JOIN f b ON a.form = b.form AND a.key < b.key AND a.text <> b.text""",
     "p7_found": f"""
         WITH d AS (SELECT {_KEY} AS key, len(regexp_extract_all(text, '{TOKEN_RE2}')) AS n FROM documents),
         t AS (SELECT {_KEY} AS key, source, weight / sum(weight) OVER () AS share, max_repeats FROM mix_targets)
