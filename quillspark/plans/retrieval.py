@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.words import TOKEN_RE2, token_count
-from quillspark.operators import answers, catalog, context, metrics, packer, search, sync, tables_qa, terms
+from quillspark.operators import answers, catalog, context, evalset, metrics, packer, search, sync, tables_qa, terms
 from quillspark.sources.tables import table
 
 STEP = 100  # of the queries, those whose id is divisible by this ask all rows
@@ -222,6 +222,14 @@ def ranking_metrics(s, d):
     return metrics.ranking_metrics(rows, ["category"])
 
 
+def document_segments(s, d):
+    return evalset.segments(table(s, d, "documents")).select("doc_id", F.md5("key").alias("key_md5"))
+
+
+def unique_segments(s, d):
+    return evalset.unique_segments(evalset.segments(table(s, d, "documents"))).select("doc_id", F.md5("key").alias("key_md5"))
+
+
 def answered_requests(s, d):
     return answers.answer(_requests(s, d), hybrid_search(s, d), _active(s, d))
 
@@ -231,7 +239,7 @@ QUERIES = {
     for f in (
         active_chunks, document_status, status_summary, status_histogram, latest_versions, index_consistency, normalized_documents, document_keys, unique_paragraphs, document_windows,
         packed_chunks, chunk_health, token_distribution, request_latency, bm25_search, contains_search, field_search, vector_search, fused_ranks, hybrid_search, hash_embeddings, context_windows,
-        context_segments, table_cells, table_columns, pivot_states, reconcile, job_queue, question_leakage, question_coverage, leakage_summary, ranking_metrics, answered_requests,
+        context_segments, table_cells, table_columns, pivot_states, reconcile, job_queue, question_leakage, question_coverage, leakage_summary, ranking_metrics, document_segments, unique_segments, answered_requests,
     )
 }
 
@@ -281,6 +289,10 @@ _SNAP = """
     old AS (SELECT active AS sha, row_number() OVER (PARTITION BY active ORDER BY path) AS n, path AS old_path, document_id FROM gone WHERE active IS NOT NULL),
     added AS (SELECT path, CASE WHEN old_path IS NULL THEN 'add' ELSE 'move' END AS event, old_path, document_id FROM new LEFT JOIN old USING (sha, n)),
     ev AS (SELECT * FROM here UNION ALL SELECT * FROM added UNION ALL SELECT path, 'delete', NULL, document_id FROM gone WHERE path NOT IN (SELECT old_path FROM added WHERE old_path IS NOT NULL))"""
+_SEGMENTS = r"""
+    p AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?。！？])\s+|\n+', '\1' || chr(31), 'g'), chr(31)))) AS segment FROM documents),
+    k AS (SELECT doc_id, segment, regexp_replace(lower(segment), '[^\p{L}\p{N}]+', '', 'g') AS key FROM p),
+    seg AS (SELECT DISTINCT doc_id, key FROM k WHERE len(key) BETWEEN 18 AND 180 AND len(key) >= 0.68 * len(segment))"""
 _CASES = "c AS (SELECT id AS query_id, list_filter(regexp_extract_all(min(question), '[A-Za-z0-9_]+'), lambda x: len(x) >= 2) AS words FROM eval_cases GROUP BY 1)"
 
 SQL = {
@@ -342,6 +354,8 @@ SQL = {
     "reconcile": f"WITH {_SNAP} SELECT * FROM ev",
     "job_queue": f"""WITH {_SNAP} SELECT sha256('kb' || chr(31) || upper(event) || chr(31) || path || chr(31)) AS job_key, event AS operation, CASE event WHEN 'update' THEN 'leased' ELSE 'queued' END AS state,
         (event IN ('add', 'update'))::INT AS attempts, CASE event WHEN 'update' THEN 'x' END AS error FROM ev WHERE event <> 'unchanged'""",
+    "document_segments": f"WITH {_SEGMENTS} SELECT doc_id, md5(key) AS key_md5 FROM seg",
+    "unique_segments": f"WITH {_SEGMENTS} SELECT min(doc_id) AS doc_id, md5(key) AS key_md5 FROM seg GROUP BY key HAVING count(*) = 1",
     "question_coverage": r"""WITH c AS (SELECT DISTINCT ON (id) id, regexp_replace(lower(question), '[^\p{L}\p{N}]+', '', 'g') AS q, regexp_replace(lower(array_to_string(list_transform(relevant_sources, lambda s: s.evidence_text), chr(10))), '[^\p{L}\p{N}]+', '', 'g') AS e FROM eval_cases),
         b AS (SELECT id, list_distinct(list_transform(generate_series(1, len(q) - 1), lambda i: q[i:i + 1])) AS q, list_distinct(list_transform(generate_series(1, len(e) - 1), lambda i: e[i:i + 1])) AS e FROM c)
         SELECT id, round(len(list_intersect(q, e)) / len(q), 6) AS coverage FROM b""",

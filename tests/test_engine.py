@@ -249,3 +249,13 @@ def test_layout(spark):
     assert layout.image_regions(df.filter("block_type = 'image'")).count() == 1
     cells = spark.createDataFrame([("v", 1, f"r{i}c{j}", (50.0 + 100 * j, 20.0 * i, 90.0 + 100 * j, 20.0 * i + 10)) for i in range(4) for j in range(3)], "document_version_id string, page_no int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
     assert layout.ocr_tables(cells).first().table_markdown.splitlines()[2] == "| r1c0 | r1c1 | r1c2 |"
+
+
+def test_segments(spark):
+    from quillspark.operators import evalset
+
+    same = "This sentence stands in both of the texts."
+    rows = [(1, f"{same} Only the first text says this one here.\nshort"), (2, f"{same}\n{same}"), (3, None), (4, "")]
+    found = evalset.segments(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert found.count() == 3
+    assert [r.segment for r in evalset.unique_segments(found).collect()] == ["Only the first text says this one here."]
