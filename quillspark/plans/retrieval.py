@@ -146,7 +146,8 @@ def hash_embeddings(s, d):
 
 
 def _anchors(s, d) -> DataFrame:
-    return _active(s, d).filter(F.col("chunk_index") % STEP == 5).select(F.col("id").alias("anchor_id"), "document_version_id", "chunk_index", "section_path")
+    """Every active chunk."""
+    return _active(s, d).select(F.col("id").alias("anchor_id"), "document_version_id", "chunk_index", "section_path")
 
 
 def context_windows(s, d):
@@ -154,8 +155,9 @@ def context_windows(s, d):
 
 
 def context_segments(s, d):
+    """The segment around every active chunk, each chunk being the only hit of a query of its own."""
     near = context.neighbours(_anchors(s, d), _active(s, d), 3)
-    return context.segments(near).select("document_version_id", "first_index", "last_index", "chunks", F.md5("text").alias("text_md5"))
+    return context.segments(near, ["anchor_id"]).select("document_version_id", "first_index", "last_index", "chunks", F.md5("text").alias("text_md5"))
 
 
 def _cells(s, d) -> DataFrame:
