@@ -104,10 +104,10 @@ def bm25_search(s, d):
 
 
 def contains_search(s, d):
-    """Chunks by the number of a question's distinct ASCII words of two characters or more that they hold, 20 each."""
+    """The ten chunks that hold most of a held-out question's distinct ASCII words of two characters or more, each word worth 20."""
     asked = _cases(s, d).withColumn("weighted", terms.parse("query")["weighted"]).withColumn("knowledge_base_id", F.lit("")).withColumn("allowed_document_ids", F.lit(None).cast("array<string>"))
     texts = table(s, d, "chunks").dropDuplicates(["id"]).withColumn("knowledge_base_id", F.lit("")).withColumn("document_id", F.col("document_version_id"))
-    hits = search.contains_hits(asked.filter("query_id like '%0'"), texts)
+    hits = search.contains_hits(asked, texts)
     return search.top(hits, 10, F.desc("score"), F.col("token_count"), F.col("chunk_index"), F.col("id")).select("query_id", "id", "rank", "score")
 
 

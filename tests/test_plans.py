@@ -30,3 +30,9 @@ def test_every_chunk_has_a_context(spark, folder):
     runs = retrieval.context_segments(spark, folder[0]).filter("document_version_id = 'v1'").collect()
     assert [(r.first_index, r.last_index, r.chunks) for r in runs] == [(0, 2, 3)] * 3 and len({r.text_md5 for r in runs}) == 3
     assert {r.id for r in pages.chunk_previews(spark, folder[0]).collect()} == {f"c{d}{i}" for d in (1, 2) for i in range(3)}
+
+
+def test_contains_search_asks_every_question(spark, folder):
+    folder[1]("eval_cases", [("q1", "Which pump leaks?"), ("q10", "Where is the valve?")], "id string, question string")
+    got = {(r.query_id, r.id) for r in retrieval.contains_search(spark, folder[0]).filter("rank = 1").collect()}
+    assert got == {("q1", "c10"), ("q10", "c11")}
