@@ -16,7 +16,7 @@ from quillspark.operators import terms
 from quillspark.operators.catalog import allowed
 
 K1, B, RRF, LEAST_IDF = 1.2, 0.75, 60, 1e-6
-LIST_K, CANDIDATES, SIMPLE_CANDIDATES, PER_DOCUMENT, FINAL_K = 40, 12, 6, 3, 10
+LIST_K, CANDIDATES, SIMPLE_CANDIDATES, PER_DOCUMENT, FINAL_K, MOST_K = 40, 12, 6, 3, 10, 50
 
 
 def indexed_text(chunks: DataFrame) -> Column:
@@ -150,12 +150,12 @@ def near_duplicate(a: str, b: str) -> bool:
     return short == long or (len(short) >= 60 and len(short) >= 0.78 * len(long) and short in long)
 
 
-def _diversify(per_document: int, limit: int):
+def _diversify(per_document: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["score", "position"], ascending=[False, True], kind="stable")
-        taken, keys, used = [], [], {}
+        taken, keys, used, most = [], [], {}, int(group["most"].iloc[0])
         for row, doc, key in zip(range(len(group)), group["document_id"], group["key"]):
-            if len(taken) == limit:
+            if len(taken) == most:
                 break
             if not key or used.get(doc, 0) >= per_document or any(near_duplicate(key, k) for k in keys):
                 continue
@@ -171,10 +171,12 @@ def _diversify(per_document: int, limit: int):
 
 def diversify(candidates: DataFrame, per_document: int = PER_DOCUMENT, limit: int = FINAL_K) -> DataFrame:
     """The best candidates (query_id, id, document_id, key, score, position), at most per_document of one document
-    and none nearly equal to a better one. A query has at most CANDIDATES of them, so a group is small."""
+    and none nearly equal to a better one; of each query its ``most``, if there is such a column, else ``limit``.
+    A query has at most MOST_K candidates, so a group is small."""
     kind = dict(candidates.dtypes)
     schema = f"query_id {kind['query_id']}, id {kind['id']}, score double, rank int"
-    return candidates.select("query_id", "id", "document_id", "key", "score", "position").groupBy("query_id").applyInPandas(_diversify(per_document, limit), schema)
+    most = F.col("most") if "most" in candidates.columns else F.lit(limit).alias("most")
+    return candidates.select("query_id", "id", "document_id", "key", "score", "position", most).groupBy("query_id").applyInPandas(_diversify(per_document), schema)
 
 
 @F.pandas_udf(T.StringType())
@@ -199,9 +201,13 @@ def search(queries: DataFrame, chunks: DataFrame, everything: DataFrame, vectors
     active chunks; everything: all indexed chunks (id, indexed), over which BM25 counts; vectors: id, vector,
     knowledge_base_id. A query with exact hits uses them as full-text and contains lists and skips the vectors.
     A rerank column function of (query, text) replaces the lexical score by its own. Blank queries find nothing.
+    A query's top_k, if queries have that column and it isn't null, replaces ``limit`` and raises the candidates of a
+    complex query to as many; a simple query keeps its own. A query whose top_k isn't in 1 to MOST_K finds nothing.
     """
     from quillspark.session import cut_lineage
 
+    asked_k = F.col("top_k").cast("int") if "top_k" in queries.columns else F.lit(None).cast("int")
+    queries = queries.withColumn("top_k", asked_k).filter(F.col("top_k").isNull() | F.col("top_k").between(1, MOST_K))
     chunks = chunks.withColumn("indexed", indexed_text(chunks))
     q = cut_lineage(queries.withColumn("p", terms.parse("query")).select("*", "p.*").drop("p"))
     exact = top(exact_hits(q, chunks), list_k, F.desc("score"), F.col("chunk_index"), F.col("id")).select("query_id", "id", "rank")
@@ -214,8 +220,9 @@ def search(queries: DataFrame, chunks: DataFrame, everything: DataFrame, vectors
     if vectors is not None:
         asked = rest.filter("vector is not null").select("query_id", "vector", "knowledge_base_id")
         lists["vector"] = vector_hits(asked, vectors, list_k)
-    fused = fuse(lists).join(q.select("query_id", "complex", "query", "weighted", "quoted"), "query_id")
-    fused = fused.filter(F.col("position") <= F.when(F.col("complex"), candidates).otherwise(min(candidates, simple)))
+    fused = fuse(lists).join(q.select("query_id", "complex", "query", "weighted", "quoted", "top_k"), "query_id")
+    most = F.greatest(F.lit(candidates), F.col("top_k"))
+    fused = fused.filter(F.col("position") <= F.when(F.col("complex"), most).otherwise(F.least(most, F.lit(simple))))
     loaded = restrict(fused, queries, chunks.select("id", "document_id", "knowledge_base_id")).join(chunks.select("id", "text", "content_type", "section_path"), "id")
     bonus = structure_bonus(F.col("query"), F.col("weighted"), F.col("content_type"), F.col("section_path"))
     if rerank is None:
@@ -223,7 +230,7 @@ def search(queries: DataFrame, chunks: DataFrame, everything: DataFrame, vectors
     else:
         score = rerank(F.col("query"), F.col("text")) + 0.01 * F.col("score") + exact_field_bonus(F.col("quoted"), F.col("text")) + table_total_bonus(F.col("query"), F.col("text")) + bonus
     loaded = cut_lineage(loaded.withColumn("score", score).withColumn("key", text_key(F.col("text"))).withColumn("shown", display_text(F.col("text"))))
-    best = diversify(loaded, per_document, limit)
+    best = diversify(loaded.withColumn("most", F.coalesce("top_k", F.lit(limit))), per_document, limit)
     out = best.join(loaded.select("query_id", "id", "document_id", "sources", "shown", "weighted"), ["query_id", "id"])
     return out.select("query_id", "rank", "id", "document_id", "score", "sources", focused_quote("shown", "weighted").alias("quote"))
 

@@ -82,7 +82,7 @@ def request_latency(s, d):
 
 def _requests(s, d) -> DataFrame:
     r = table(s, d, "search_requests").dropDuplicates(["request_id"]).filter(F.col("request_id") % STEP == 0)
-    return r.select(F.col("request_id").alias("query_id"), "knowledge_base_id", "query", "allowed_document_ids").filter("trim(query) != ''")
+    return r.select(F.col("request_id").alias("query_id"), "knowledge_base_id", "query", "allowed_document_ids", "top_k").filter("trim(query) != ''")
 
 
 def _cases(s, d) -> DataFrame:
@@ -131,15 +131,19 @@ def fused_ranks(s, d):
     return search.fuse({"vector": near, "id": by_id}).select("query_id", "id", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
 
 
-def hybrid_search(s, d):
+def _hits(s, d, requests: DataFrame) -> DataFrame:
     r = table(s, d, "vector_records").select("id", "vector", F.col("payload.knowledge_base_id").alias("knowledge_base_id")).filter("vector is not null and knowledge_base_id is not null").dropDuplicates(["id"])
     # The stored vectors come from a model that isn't here; texts and queries get the hash embedding.
     embedded = _active(s, d)
     v = embedded.select("id", X.embed(search.indexed_text(embedded)).alias("vector"), "knowledge_base_id").join(r.select("id"), "id", "left_semi")
-    q = _requests(s, d).withColumn("vector", X.embed("query"))
+    q = requests.withColumn("vector", X.embed("query"))
     return search.search(q, embedded, _indexed(s, d), v)
 
 
+def hybrid_search(s, d):
+    return _hits(s, d, _requests(s, d))
+
+
 def hash_embeddings(s, d):
     v = X.hash_embedding(F.col("query"))
     return table(s, d, "search_requests").select("request_id", "query").distinct().select("request_id", F.posexplode(v).alias("i", "x")).select("request_id", "i", F.round("x", 6).alias("x"))
@@ -233,7 +237,9 @@ def unique_segments(s, d):
 
 
 def answered_requests(s, d):
-    return answers.answer(_requests(s, d), hybrid_search(s, d), _active(s, d))
+    """Answers take their own number of hits: a request's top_k is for its search only."""
+    requests = _requests(s, d).drop("top_k")
+    return answers.answer(requests, _hits(s, d, requests), _active(s, d))
 
 
 QUERIES = {

@@ -36,3 +36,18 @@ def test_contains_search_asks_every_question(spark, folder):
     folder[1]("eval_cases", [("q1", "Which pump leaks?"), ("q10", "Where is the valve?")], "id string, question string")
     got = {(r.query_id, r.id) for r in retrieval.contains_search(spark, folder[0]).filter("rank = 1").collect()}
     assert got == {("q1", "c10"), ("q10", "c11")}
+
+
+def test_top_k_of_a_request(spark, folder):
+    path, write = folder
+    names = "alpha beta gamma delta omega sigma kappa lambda zeta theta iota rho tau phi chi psi".split()
+    write("chunks", [(f"c{i:02}", f"v{i}", 0, f"pump station {name} {name * 2}", [], "text", 4, 1) for i, name in enumerate(names)], CHUNK)
+    write("document_versions", [(f"v{i}", f"d{i}", "ready", None) for i in range(len(names))], VERSION)
+    write("vector_records", [(f"c{i:02}", [1.0, 0.0], (f"d{i}", "kb", f"f/d{i}.txt")) for i in range(len(names))], RECORD)
+    long, simple = "compare which pump and which station is where and list the differences between them all", "pump"
+    asked = [(100 * n, "kb", q, None, k) for n, (q, k) in enumerate([(long, None), (long, 20), (long, 5), (long, 0), (long, 51), (simple, 20), (simple, None)], 1)]
+    write("search_requests", asked, "request_id long, knowledge_base_id string, query string, allowed_document_ids array<string>, top_k int")
+    got = {r.query_id // 100: r["count"] for r in retrieval.hybrid_search(spark, path).groupBy("query_id").count().collect()}
+    assert got == {1: 10, 2: 16, 3: 5, 6: 6, 7: 6}
+    answered = {r.query_id // 100: r for r in retrieval.answered_requests(spark, path).collect()}
+    assert set(answered) == set(range(1, 8)) and answered[4].answer == answered[1].answer
