@@ -53,6 +53,14 @@ def latency_percentiles(df: DataFrame, value: Column, by: list[str]) -> DataFram
     return df.withColumn("_v", value).groupBy(*by).agg(F.count("_v").alias("n"), *(F.round(e, 3).alias(name) for e, name in ((F.min("_v"), "least"), (F.avg("_v"), "mean"), *((F.percentile("_v", p), name) for p, name in shares), (F.max("_v"), "most"))))
 
 
+def source_matches(sources: Column, chunk_id: Column, document_id: Column, path: Column) -> Column:
+    """Whether a result is of one of a case's sources: its chunk, its document, or a path that ends with the source's. Empty fields match nothing."""
+    slashes = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    same = lambda want, have: F.coalesce((want != "") & (want == have), F.lit(False))
+    ends = lambda want: F.coalesce((want != "") & F.endswith(slashes(path), slashes(want)), F.lit(False))
+    return F.coalesce(F.exists(sources, lambda x: same(x["chunk_id"], chunk_id) | same(x["document_id"], document_id) | ends(x["document_path"])), F.lit(False))
+
+
 def ranking_metrics(rows: DataFrame, by: list[str], cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """Means by group and cut k of hit, recall, precision, MRR and nDCG, rounded to 6 digits.
 

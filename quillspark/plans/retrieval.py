@@ -95,12 +95,16 @@ def _indexed(s, d) -> DataFrame:
     return c.select("id", search.indexed_text(c).alias("indexed"))
 
 
-def bm25_search(s, d):
-    """The ten best chunks for every held-out question."""
+def _bm25(s, d, k: int) -> DataFrame:
     asked = _cases(s, d).withColumn("fts", terms.parse("query")["fts"])
     texts = table(s, d, "chunks").dropDuplicates(["id"]).select("id", F.col("text").alias("indexed"))
     hits = search.bm25(asked, texts)
-    return search.top(hits.withColumn("score", F.round("score", 9)), 10, F.desc("score"), F.col("id")).select("query_id", "id", "rank", "score")
+    return search.top(hits.withColumn("score", F.round("score", 9)), k, F.desc("score"), F.col("id")).select("query_id", "id", "rank", "score")
+
+
+def bm25_search(s, d):
+    """The ten best chunks for every held-out question."""
+    return _bm25(s, d, 10)
 
 
 def contains_search(s, d):
@@ -219,13 +223,17 @@ def leakage_summary(s, d):
 
 
 def ranking_metrics(s, d):
-    """The BM25 ranking of the held-out questions; a chunk is relevant if it holds the name the case's file bears."""
-    names = table(s, d, "eval_cases").groupBy("id").agg(F.min("category").alias("category"), F.first("relevant_sources").alias("r"))
-    names = names.select(F.col("id").alias("query_id"), "category", F.lower(F.regexp_extract(F.get("r", F.lit(0))["document_path"], r"([a-z]+)-\d+\.", 1)).alias("name"))
-    hits = bm25_search(s, d).join(table(s, d, "chunks").dropDuplicates(["id"]).select("id", F.lower("text").alias("text")), "id").join(names, "query_id")
-    hits = hits.groupBy("query_id", "category").agg(F.array_sort(F.collect_list(F.struct("rank", F.contains("text", F.col("name")).alias("hit")))).alias("h"))
-    rows = hits.select("category", F.transform("h", lambda x: x["hit"]).alias("relevance"), F.lit(2).alias("total"))
-    return metrics.ranking_metrics(rows, ["category"])
+    """The BM25 ranking of all held-out questions, as deep as the deepest cut, by validated and category; a chunk is
+    relevant if it matches a source of the case. A case without hits counts with nothing found."""
+    cases = table(s, d, "eval_cases").groupBy(F.col("id").alias("query_id")).agg(F.coalesce(F.max("validated"), F.lit(False)).alias("validated"), F.min("category").alias("category"), F.min("relevant_sources").alias("sources"))
+    versions = table(s, d, "document_versions").select(F.col("id").alias("document_version_id"), "document_id").distinct()
+    chunks = table(s, d, "chunks").dropDuplicates(["id"]).select("id", "document_version_id").join(versions, "document_version_id", "left").join(_docs(s, d).select("document_id", "canonical_path"), "document_id", "left")
+    hits = _bm25(s, d, max(metrics.CUTS)).join(chunks, "id", "left").join(cases.select("query_id", "sources"), "query_id")
+    hits = hits.withColumn("hit", metrics.source_matches(F.col("sources"), F.col("id"), F.col("document_id"), F.col("canonical_path")))
+    hits = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hit"))).alias("h"))
+    relevance = F.coalesce(F.transform("h", lambda x: x["hit"]), F.array().cast("array<boolean>"))
+    rows = cases.join(hits, "query_id", "left").select("validated", "category", relevance.alias("relevance"), F.coalesce(F.size("sources"), F.lit(0)).alias("total"))
+    return metrics.ranking_metrics(rows, ["validated", "category"])
 
 
 def document_segments(s, d):

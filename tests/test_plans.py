@@ -51,3 +51,29 @@ def test_top_k_of_a_request(spark, folder):
     assert got == {1: 10, 2: 16, 3: 5, 6: 6, 7: 6}
     answered = {r.query_id // 100: r for r in retrieval.answered_requests(spark, path).collect()}
     assert set(answered) == set(range(1, 8)) and answered[4].answer == answered[1].answer
+
+
+def test_ranking_by_the_sources_of_all_cases(spark, folder):
+    path, write = folder
+    cases = [
+        ("q1", "Which pump leaks?", "a", True, [("x\\d1.txt", None, None), ("f\\d1.txt", None, None)]),
+        ("q2", "Where is the valve?", "a", True, [(None, "d2", None)]),
+        ("q3", "zzz", "a", True, [("f/d1.txt", None, None)]),
+        ("q4", "gear", "a", None, [(None, "", "c12")]),
+        ("q5", "gear", "b", False, None),
+    ]
+    write("eval_cases", cases, "id string, question string, category string, validated boolean, relevant_sources array<struct<document_path: string, document_id: string, chunk_id: string>>")
+    got = {(r.validated, r.category, r.k): r for r in retrieval.ranking_metrics(spark, path).collect()}
+    assert set(got) == {(v, c, k) for v, c in ((True, "a"), (False, "a"), (False, "b")) for k in (1, 3, 5, 10, 15)}
+    one, all_ = got[True, "a", 1], got[True, "a", 15]
+    assert (one.cases, one.hit, one.recall, one.precision) == (3, 0.333333, 0.166667, 0.333333)
+    assert (all_.hit, all_.mrr, all_.precision) == (0.666667, 0.5, 0.066667)
+    assert (got[False, "a", 1].recall, got[False, "a", 1].ndcg, got[False, "b", 15].recall) == (1.0, 1.0, 0.0)
+
+
+def test_ranking_is_fifteen_deep(spark, folder):
+    path, write = folder
+    write("chunks", [(f"c{i:02}", "v1", i, "pump", [], "text", 1, 1) for i in range(20)], CHUNK)
+    write("eval_cases", [("q", "pump", "a", True, [(None, None, "c12")])], "id string, question string, category string, validated boolean, relevant_sources array<struct<document_path: string, document_id: string, chunk_id: string>>")
+    got = {r.k: r.hit for r in retrieval.ranking_metrics(spark, path).collect()}
+    assert (got[10], got[15]) == (0.0, 1.0)
