@@ -14,12 +14,13 @@ def latest_versions(versions: DataFrame) -> DataFrame:
 
 def documents(versions: DataFrame, records: DataFrame) -> DataFrame:
     """(document_id, knowledge_base_id, canonical_path, active_version_id, visible): the newest ready version is
-    active, and a document whose newest version is deleted isn't visible. Base and path come from vector payloads."""
+    active, and a document whose newest version is deleted isn't visible. Base and path come from vector payloads and
+    are null for a document without one."""
     ready = latest_versions(versions.filter("state = 'ready'")).select("document_id", F.col("id").alias("active_version_id"))
     state = latest_versions(versions).select("document_id", (F.col("state") != "deleted").alias("visible"))
     place = records.select("payload.document_id", "payload.knowledge_base_id", "payload.canonical_path").filter("document_id is not null")
     place = place.groupBy("document_id").agg(F.min(F.struct("canonical_path", "knowledge_base_id")).alias("p"))
-    return state.join(ready, "document_id", "left").join(place, "document_id").select("document_id", "p.knowledge_base_id", "p.canonical_path", "active_version_id", "visible")
+    return state.join(ready, "document_id", "left").join(place, "document_id", "left").select("document_id", "p.knowledge_base_id", "p.canonical_path", "active_version_id", "visible")
 
 
 def active_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:

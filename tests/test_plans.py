@@ -77,3 +77,12 @@ def test_ranking_is_fifteen_deep(spark, folder):
     write("eval_cases", [("q", "pump", "a", True, [(None, None, "c12")])], "id string, question string, category string, validated boolean, relevant_sources array<struct<document_path: string, document_id: string, chunk_id: string>>")
     got = {r.k: r.hit for r in retrieval.ranking_metrics(spark, path).collect()}
     assert (got[10], got[15]) == (0.0, 1.0)
+
+
+def test_documents_without_a_vector_count(spark, folder):
+    got = {r.document_id: (r.knowledge_base_id, r.state, r.chunk_count) for r in retrieval.document_status(spark, folder[0]).collect()}
+    assert got == {"d1": ("kb", "ready", 3), "d2": (None, "ready", 3), "d3": (None, "failed", 0)}
+    summary = {r.knowledge_base_id: (r.documents, r.ready, r.failed, r.pending) for r in retrieval.status_summary(spark, folder[0]).collect()}
+    assert summary == {"kb": (1, 1, 0, 0), None: (2, 1, 1, 0)}
+    assert {r.state: r.documents for r in retrieval.status_histogram(spark, folder[0]).collect()} == {"ready": 2, "failed": 1}
+    assert retrieval.active_chunks(spark, folder[0]).filter("document_id = 'd2'").count() == 3
