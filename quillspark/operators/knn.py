@@ -124,17 +124,17 @@ def neighbours(records: DataFrame, k: int = K, size: int = 48, sample: int = SAM
     once. Equal vectors form one class that is searched once; the members of a class are neighbours
     of each other first, the smaller id first. At most 1 + k ids of a class can be among anyone's
     neighbours, so larger classes cost nothing more. Fewer than k others give fewer rows. Of equally
-    similar records the smaller id goes first. ``sample`` bounds the rows the index is fitted on (every row
-    is indexed); ``lists`` defaults to about the root of the number of rows, at most a 16th of the sample.
+    similar records the smaller id goes first. ``sample`` bounds the classes the index is fitted on, each
+    counting once (every row is indexed); ``lists`` defaults to about twice the root of the number of classes, at most a 16th of the sample.
     """
     from quillspark.session import cut_lineage
 
     rows = usable(records, size).withColumn("cls", F.xxhash64("v"))
     members = cut_lineage(rows)
     first = members.groupBy("cls").agg(F.min("v").alias("v"))
-    total = members.count()
+    total = members.select("cls").distinct().count()
     lists = lists or max(1, min(int(2 * total**0.5), sample // 16))
-    drawn = members.select("v").orderBy(F.xxhash64("v", F.lit(11))).limit(sample).toPandas()["v"]
+    drawn = first.select("v").orderBy(F.xxhash64("v", F.lit(11))).limit(sample).toPandas()["v"]
     if not len(drawn):
         return records.sparkSession.createDataFrame([], f"id {dict(records.dtypes)['id']}, rank int, other {dict(records.dtypes)['id']}, similarity double")
     books = fit(_units(np.stack(drawn.to_numpy())).astype(np.float32), lists, PARTS, CODES)

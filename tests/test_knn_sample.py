@@ -1,0 +1,13 @@
+import numpy as np
+
+from quillspark.operators import knn
+
+
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    rng, seen, fit = np.random.default_rng(5), [], knn.fit
+    x = rng.normal(size=(300, 48)).astype(np.float32)
+    rows = [(i, x[i].tolist()) for i in range(300)] + [(300 + i, x[7].tolist()) for i in range(900)]
+    monkeypatch.setattr(knn, "fit", lambda sample, lists, parts, codes: seen.append((sample, lists)) or fit(sample, lists, parts, codes))
+    knn.neighbours(spark.createDataFrame(rows, "id long, vector array<float>"), sample=1000).count()
+    (sample, lists), = seen
+    assert len(sample) == 300 == len(np.unique(sample, axis=0)) and lists == int(2 * 300**0.5)
