@@ -122,14 +122,24 @@ def field_search(s, d):
     return search.field_search(fields, _active(s, d), most=1 << 30).select("query_id", "document_id", "matched_chunks", "occurrences")
 
 
-def vector_search(s, d):
+def _near_vectors(s, d, *filters: str) -> DataFrame:
+    """The ten nearest vectors of every STEP-th one, among those that agree with it in the filters."""
     e = table(s, d, "embeddings")
-    asked = e.filter(F.col("vec_id") % STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
-    return search.vector_hits(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    asked = e.filter(F.col("vec_id") % STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), *filters)
+    return search.vector_hits(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), *filters), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def vector_search(s, d):
+    return _near_vectors(s, d)
+
+
+def vector_search_filtered(s, d):
+    """The vectors of the query's label only, as a payload filter does."""
+    return _near_vectors(s, d, "label")
 
 
 def fused_ranks(s, d):
-    """Two rankings of the vectors of a label, by similarity and by id, fused."""
+    """Two rankings of the nearest vectors, by similarity and by id, fused."""
     near = vector_search(s, d)
     by_id = search.top(near.drop("rank"), 10, F.col("id"))
     return search.fuse({"vector": near, "id": by_id}).select("query_id", "id", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
@@ -254,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         active_chunks, document_status, status_summary, status_histogram, latest_versions, index_consistency, normalized_documents, document_keys, unique_paragraphs, document_windows,
-        packed_chunks, chunk_health, token_distribution, request_latency, bm25_search, contains_search, field_search, vector_search, fused_ranks, hybrid_search, hash_embeddings, context_windows,
+        packed_chunks, chunk_health, token_distribution, request_latency, bm25_search, contains_search, field_search, vector_search, vector_search_filtered, fused_ranks, hybrid_search, hash_embeddings, context_windows,
         context_segments, table_cells, table_columns, pivot_states, reconcile, job_queue, question_leakage, question_coverage, leakage_summary, ranking_metrics, document_segments, unique_segments, answered_requests,
     )
 }
@@ -350,6 +360,7 @@ SQL = {
     "field_search": rf"""WITH {_DOCS}, w(query_id, field) AS (VALUES (1, 'gearbox'), (2, 'Pump'), (3, '50 %'), (4, '阀门'))
         SELECT query_id, document_id, count(*) AS matched_chunks, sum((len(text) - len(replace(text, field, ''))) // len(field)) AS occurrences FROM active JOIN w ON contains(lower(text), lower(field)) GROUP BY 1, 2""",
     "vector_search": f"WITH {_VECTORS} SELECT query_id, id, rank, score FROM near",
+    "vector_search_filtered": f"WITH {_VECTORS} SELECT query_id, id, rank, score FROM near",
     "fused_ranks": f"""WITH {_VECTORS}, l AS (SELECT query_id, id, rank, 'vector' AS source FROM near UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id), 'id' FROM near)
         SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM l GROUP BY 1, 2""",
     "hash_embeddings": r"""WITH q AS (SELECT DISTINCT request_id, query FROM search_requests), w AS (SELECT request_id, query, list_filter(string_split(trim(regexp_replace(query, '[\s\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM q),

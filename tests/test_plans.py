@@ -86,3 +86,11 @@ def test_documents_without_a_vector_count(spark, folder):
     assert summary == {"kb": (1, 1, 0, 0), None: (2, 1, 1, 0)}
     assert {r.state: r.documents for r in retrieval.status_histogram(spark, folder[0]).collect()} == {"ready": 2, "failed": 1}
     assert retrieval.active_chunks(spark, folder[0]).filter("document_id = 'd2'").count() == 3
+
+
+def test_vectors_of_all_labels_are_compared(spark, folder):
+    path, write = folder
+    write("embeddings", [(100, "a", [1.0, 0.0]), (1, "b", [1.0, 0.1]), (2, "a", [0.0, 1.0])], "vec_id long, label string, embedding array<float>")
+    assert [r.id for r in retrieval.vector_search(spark, path).orderBy("rank").collect()] == [100, 1, 2]
+    assert [r.id for r in retrieval.vector_search_filtered(spark, path).orderBy("rank").collect()] == [100, 2]
+    assert {r.id for r in retrieval.fused_ranks(spark, path).collect()} == {1, 2, 100}
