@@ -4,7 +4,7 @@ Every occurrence of a word rates its document: a word of difficulty b occurs at
 probability proportional to base_k * exp((k - 3) * b), a Rasch rating scale whose sufficient statistic
 is the mean level of the word's documents. Difficulties and levels are estimated in turn: levels of
 all documents given the words, then difficulties from the expected levels of all documents, those of
-rated documents staying at their rating. A classifier on a bounded sample of rated documents places
+rated documents staying at their rating, all of them. A classifier on a bounded sample of rated documents places
 the result on the raters' scale.
 """
 
@@ -99,14 +99,14 @@ def expected_level(row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int,
     return (LEVELS[:, None] * score).sum(0) / score.sum(0)
 
 
-def _statistics(bits: int, gain: np.ndarray | None, base: np.ndarray, rated):
-    """mapInArrow: sums of expected levels and occurrences by word, over a task's documents."""
+def _statistics(bits: int, gain: np.ndarray | None, base: np.ndarray):
+    """mapInArrow: sums of expected levels and occurrences by word, over a task's documents; the column rating is null where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, number = np.zeros(1 << bits), np.zeros(1 << bits)
         for batch in batches:
             row, term, count = _flat(batch)
-            level = _rated(batch.column("doc_id").to_numpy(), rated)
+            level = batch.column("rating").to_numpy(zero_copy_only=False).astype(np.float64)
             if gain is not None:
                 level = np.where(np.isnan(level), expected_level(row, term, count, batch.num_rows, gain, base), level)
             use = ~np.isnan(level[row]) if batch.num_rows else np.zeros(0, bool)
@@ -191,10 +191,15 @@ class Softmax:
         return self._p(self._z(x))
 
 
+def mean_ratings(labels: DataFrame) -> DataFrame:
+    """(doc_id, level) of every rated document: the mean of its ratings."""
+    means = labels.filter("doc_id is not null and reading_level between 1 and 5").select("doc_id", "rater", "reading_level").distinct()
+    return means.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("reading_level").alias("level"))
+
+
 def ratings(labels: DataFrame, rated: int = RATED) -> tuple[np.ndarray, np.ndarray]:
     """(ids, mean level) of at most ``rated`` rated documents, chosen by a hash of the id."""
-    means = labels.filter("doc_id is not null and reading_level between 1 and 5").select("doc_id", "rater", "reading_level").distinct()
-    rows = means.groupBy("doc_id").agg(F.avg("reading_level").alias("level")).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rated).toPandas().sort_values("doc_id")
+    rows = mean_ratings(labels).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rated).toPandas().sort_values("doc_id")
     return rows["doc_id"].to_numpy(np.int64), rows["level"].to_numpy(np.float64)
 
 
@@ -204,18 +209,21 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rated: int = RATED,
     level, estimate and difficulty are null for documents that are not English or have no words (null
     or blank texts included), and for all if no document is rated. Repeated rows stay. Words are hashed into
     2**bits difficulties, so what is sent to executors and driver has a fixed size. ``rated`` bounds the
-    rated documents used; documents and word counts are all used.
+    rated documents the classifier is fitted on; documents, ratings and word counts are all used.
     """
-    bags = cut_lineage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_bag(bits), "doc_id long, words int, english boolean, terms binary, counts binary"))
+    means = mean_ratings(labels)
+    bags = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_bag(bits), "doc_id long, words int, english boolean, terms binary, counts binary")
+    bags = cut_lineage(bags.join(means.withColumnRenamed("level", "rating"), "doc_id", "left"))
     english, known = bags.filter("english"), ratings(labels, rated)
     rest = bags.filter("not english").select("doc_id", "words", "english", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("estimate"), F.lit(None).cast("double").alias("difficulty"))
     if not len(known[0]):
         return rest.unionByName(english.select("doc_id", "words", "english", *(F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("estimate", "double"), ("difficulty", "double")))))
-    base = np.bincount(np.rint(known[1]).astype(int), minlength=6)[1:] + 1.0
+    shares = {int(r["level"]): r["count"] for r in means.groupBy(F.rint("level").alias("level")).count().collect()}
+    base = np.array([shares.get(k, 0) for k in range(1, 6)]) + 1.0
     base /= base.sum()
     b, gain = np.zeros(1 << bits), None
     for _ in range(rounds):
-        sums = english.mapInArrow(_statistics(bits, gain, base, known), "term long, total double, number double").groupBy("term").agg(F.sum("total").alias("total"), F.sum("number").alias("number")).toPandas()
+        sums = english.mapInArrow(_statistics(bits, gain, base), "term long, total double, number double").groupBy("term").agg(F.sum("total").alias("total"), F.sum("number").alias("number")).toPandas()
         term = sums["term"].to_numpy(np.int64)
         b = np.zeros(1 << bits)
         b[term] = difficulties(sums["total"].to_numpy(), sums["number"].to_numpy(), base)
