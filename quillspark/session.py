@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,7 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -30,11 +34,17 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a session without one
-    (tests) gets a temporary folder.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Without one, a session whose only
+    executor is this process (tests, benchmarks) gets a temporary folder; on a cluster that is an error, as
+    executors don't share their local disks.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillspark-"))
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quillspark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
