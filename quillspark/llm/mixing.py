@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.words import token_count
-from quillspark.operators.prefix import running_total
+from quillspark.llm.prefix import running_total
 from quillspark.session import cut_lineage
 
 BLOCK = 4096

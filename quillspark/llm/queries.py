@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.functions.words import TOKEN_RE2
-from quillspark.llm import leakage, lookalike, mixing, ocr, readability
+from quillspark.llm import corpus, leakage, lookalike, mixing, ocr, readability
 from quillspark.sources.tables import table
 
 
@@ -61,7 +61,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
     return readability.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_uniform, p6_found, p6_substituted, p7_found, p7_mix, p7_shares, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_uniform, p6_found, p6_substituted, p7_found, p7_mix, p7_shares, p8_found, p8_levels)} | corpus.QUERIES
 
 # The form in SQL: usual characters by rule, invisible ones dropped, look-alikes as Latin letters, composed.
 _WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
@@ -85,4 +85,4 @@ SQL = {
         t AS (SELECT {_KEY} AS key, source, weight / sum(weight) OVER () AS share, max_repeats FROM mix_targets)
         SELECT source FROM t LEFT JOIN (SELECT key, sum(n) AS n FROM d GROUP BY key) s USING (key)
         WHERE coalesce(s.n, 0) * max_repeats < share * (SELECT sum(n) FROM d)""",
-}
+} | corpus.SQL
