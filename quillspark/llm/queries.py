@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.functions.words import TOKEN_RE2
+from quillspark.functions.words import TOKEN_RE2, WORD_RE2
 from quillspark.llm import corpus, leakage, lookalike, mixing, ocr, readability
 from quillspark.sources.tables import table
 
@@ -38,7 +38,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_substituted(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaked(table(spark, folder, "documents"), leakage.item_texts(table(spark, folder, "eval_cases")), substitutions=1)
+    return leakage.leaked(table(spark, folder, "documents"), leakage.item_texts(table(spark, folder, "eval_cases")), differing=1)
+
+
+def p6_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, folder, "documents"), leakage.item_texts(table(spark, folder, "eval_cases")))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +65,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
     return readability.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_uniform, p6_found, p6_substituted, p7_found, p7_mix, p7_shares, p8_found, p8_levels)} | corpus.QUERIES
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_uniform, p6_found, p6_substituted, p6_passages, p7_found, p7_mix, p7_shares, p8_found, p8_levels)} | corpus.QUERIES
 
 # The form in SQL: usual characters by rule, invisible ones dropped, look-alikes as Latin letters, composed.
 _WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
@@ -74,12 +78,27 @@ for _n, _a in enumerate(("ff", "fi", "fl", "ffi", "ffl")):
 _FORM = f"nfc_normalize({_FORM})"
 
 _KEY = "replace(lower(trim(source)), '-', '_')"
+
+# Windows of 12 words of documents and items, words broken over lines read in both ways.
+_READ = rf"regexp_extract_all(lower({_FORM.replace('(text', '(x')}), '{WORD_RE2}')"
+_LEAKS = rf"""
+    r AS (SELECT unnest(['\1\2', '\1 \2']) AS r),
+    dt AS (SELECT DISTINCT doc_id, regexp_replace(text, '([\p{{L}}\p{{N}}]+)[-‐‑–¬\x{{ad}}][^\S\n]*\n\s*([\p{{L}}\p{{N}}]+)', r, 'g') AS x FROM documents, r WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    c AS (SELECT id, unnest(list_concat([question], list_transform(coalesce(relevant_sources, []), lambda s: s.evidence_text))) AS x FROM eval_cases),
+    it AS (SELECT DISTINCT id, regexp_replace(x, '([\p{{L}}\p{{N}}]+)[-‐‑–¬\x{{ad}}][^\S\n]*\n\s*([\p{{L}}\p{{N}}]+)', r, 'g') AS x FROM c, r WHERE id IS NOT NULL AND x IS NOT NULL),
+    dw AS (SELECT DISTINCT doc_id, {_READ} AS w FROM dt), iw AS (SELECT DISTINCT id, {_READ} AS w FROM it),
+    d AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: w[i:i + 11])) AS a FROM dw),
+    i AS (SELECT DISTINCT id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: w[i:i + 11])) AS b FROM iw)"""
 SQL = {
     "p2_found": f"""
         WITH t AS (SELECT DISTINCT 'block-' || block_id AS key, text FROM layout_blocks WHERE text IS NOT NULL
                    UNION SELECT DISTINCT 'query-' || request_id, query FROM search_requests WHERE query IS NOT NULL),
         f AS (SELECT key, text, {_FORM} AS form FROM t)
         SELECT DISTINCT a.key AS key_a, b.key AS key_b FROM f a JOIN f b ON a.form = b.form AND a.key < b.key AND a.text <> b.text""",
+    "p6_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, id AS case_id FROM d JOIN i ON a = b",
+    # With one word replaced, the first or the last six words of a window are the same.
+    "p6_substituted": f"""WITH {_LEAKS}, j AS (SELECT doc_id, id, a, b FROM d JOIN i ON a[1:6] = b[1:6] UNION ALL SELECT doc_id, id, a, b FROM d JOIN i ON a[7:12] = b[7:12])
+        SELECT DISTINCT doc_id, id AS case_id FROM j WHERE len(list_filter(generate_series(1, 12), lambda k: a[k] <> b[k])) <= 1""",
     "p7_found": f"""
         WITH d AS (SELECT {_KEY} AS key, len(regexp_extract_all(text, '{TOKEN_RE2}')) AS n FROM documents),
         t AS (SELECT {_KEY} AS key, source, weight / sum(weight) OVER () AS share, max_repeats FROM mix_targets)

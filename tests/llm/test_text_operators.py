@@ -79,15 +79,40 @@ def test_masks_cover_every_choice_of_places():
 
 
 def test_words_ignore_breaks_and_looks():
-    assert leakage.words_of("Ма­in zentr-\nale, ＡＢ! cross-\ncheck", frozenset({"cross-check"})) == leakage.words_of("MAIN zentrale AB cross check")
+    assert leakage.words_of("Ма­in zentr-\nale, ＡＢ! in-\nside") == leakage.words_of("MAIN zentrale AB inside")
+
+
+def test_broken_words_are_read_both_ways():
+    units = leakage.units_of("one cross-\ncheck two half-\nway off well-\nknown end", lambda c: c in ("cross-check", "well-known"))
+    assert units == [("one",), ("crosscheck", "cross", "check"), ("two",), ("halfway",), ("off",), ("wellknown", "well", "known"), ("end",)]
+    got = {tuple(w) for _, w in leakage.parted_windows(units, 4) if len(w) == 4}
+    joined, first = "one crosscheck two halfway off {} end", "one cross check two halfway off {} end"
+    every = set()
+    for a in (joined, first):
+        for b in ("wellknown", "well known"):
+            w = a.format(b).split()
+            every |= {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    plain = joined.format("wellknown").split()
+    assert got == every - {tuple(plain[i : i + 4]) for i in range(len(plain) - 3)}
+
+
+def test_a_full_bit_filter_only_lets_more_pass(spark):
+    x = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
+    df = spark.createDataFrame([(int(v),) for v in x[:2500].view(np.int64)], "hash long")
+    f = leakage.BitFilter.of(df, "hash", 2500)
+    assert f(x[:2500]).all() and f(x[2500:]).mean() < 0.05
+    few = leakage.BitFilter.of(df.limit(0), "hash", 0)
+    assert not few(x).any()
 
 
 def _windows(words, n):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-@pytest.mark.parametrize("most", [1_000_000, 3])
-def test_leaks_as_brute_force(spark, most):
+@pytest.mark.parametrize("most_bits", [30, 5])
+def test_leaks_as_brute_force(spark, most_bits, monkeypatch):
+    monkeypatch.setattr(leakage, "_LEAST_BITS", 5)
+    monkeypatch.setattr(leakage, "_MOST_BITS", most_bits)
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(400)]
     items = [(f"i{k}", " ".join(rng.choices(vocabulary, k=rng.choice([11, 12, 30])))) for k in range(30)] + [("zh", "中文检索系统的评测问题集合在此"), ("n", None), ("", "x")]
@@ -103,8 +128,8 @@ def test_leaks_as_brute_force(spark, most):
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in docs], "doc_id long, text string, case_id string, hash int")
     it = spark.createDataFrame([*items, items[0]], "key string, text string")
     want = {(d, k) for d, t in docs if t and d is not None for k, s in items if s and _windows(leakage.words_of(t), 12) & _windows(leakage.words_of(s), 12)}
-    assert {tuple(r) for r in leakage.leaked(df, it, most=most).collect()} == want and want
-    assert leakage.leaked(df.limit(0), it, most=most).count() == leakage.leaked(df, it.limit(0), most=most).count() == 0
+    assert {tuple(r) for r in leakage.leaked(df, it).collect()} == want and want
+    assert leakage.leaked(df.limit(0), it).count() == leakage.leaked(df, it.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("k", [1, 2])
@@ -114,10 +139,30 @@ def test_substitutions_are_tolerated(spark, k):
     for n, changed in enumerate([(0,), (5,), (11,), (0, 1), (3, 7), (0, 5, 9)]):
         docs.append((n, " ".join("zz" if i in changed else w for i, w in enumerate(item))))
     df = spark.createDataFrame(docs, "doc_id int, text string")
-    got = {r.doc_id for r in leakage.leaked(df, spark.createDataFrame([("i", " ".join(item))], "key string, text string"), substitutions=k).collect()}
+    got = {r.doc_id for r in leakage.leaked(df, spark.createDataFrame([("i", " ".join(item))], "key string, text string"), differing=k).collect()}
     assert got == ({0, 1, 2} if k == 1 else {0, 1, 2, 3, 4})
 
 
+def test_passages_are_extended_around_hits(spark):
+    item = [f"w{i}" for i in range(40)]
+    other = [f"x{i}" for i in range(30)]
+    changed = [*item[:20], "zz", *item[21:35]]
+    docs = [(1, " ".join(other[:5] + changed + other[5:])), (2, " ".join(item[:15] + other + item[20:33])), (3, " ".join(other)), (4, " ".join(item[:11])), (5, None)]
+    df = spark.createDataFrame([*docs, docs[0]], "doc_id int, text string")
+    got = {tuple(r) for r in leakage.leaked_passages(df, spark.createDataFrame([("i", " ".join(item))], "key string, text string")).collect()}
+    # A word before or behind a passage counts as one replaced, where that leaves enough words.
+    assert {(d, k) for d, k, _, _ in got} == {(1, "i"), (2, "i")}
+    words = {d: (n, w) for d, _, n, w in got}
+    assert words[1][0] == 1 and 35 <= words[1][1] <= 37 and words[2][0] == 2 and 15 <= words[2][1] <= 17
+
+
+def test_broken_compounds_leak(spark):
+    item = "the well-known valve of the third pump house was closed by hand today again"
+    docs = [(1, item.replace("well-known", "well-\nknown")), (2, item.replace("third", "th-\nird").replace("well-known", "well-\nknown")), (3, item.replace("-", " "))]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    assert {r.doc_id for r in leakage.leaked(df, spark.createDataFrame([("i", item)], "key string, text string")).collect()} == {1, 2, 3}
+
+
 # ---- mixing
 
 
