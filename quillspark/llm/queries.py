@@ -57,6 +57,10 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.reached_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p7_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.prefix_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return readability.documents_of_level(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
@@ -65,7 +69,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
     return readability.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_uniform, p6_found, p6_substituted, p6_passages, p7_found, p7_mix, p7_shares, p8_found, p8_levels)} | corpus.QUERIES
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_uniform, p6_found, p6_substituted, p6_passages, p7_found, p7_mix, p7_shares, p7_prefixes, p8_found, p8_levels)} | corpus.QUERIES
 
 # The form in SQL: usual characters by rule, invisible ones dropped, look-alikes as Latin letters, composed.
 _WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))

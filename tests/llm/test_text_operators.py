@@ -203,6 +203,39 @@ def test_mix_is_whole_and_even(spark):
         assert group.tokens.sum() / half.tokens.sum() == pytest.approx(reached[source].actual_share, abs=0.12)
 
 
+def _slots(spark, plan, **options):
+    return mixing.slots(spark.createDataFrame(plan, "key string, weight double, blocks long"), **options)
+
+
+def test_slots_are_van_der_corput_points_in_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "UNITS", 12)
+    plan = [("a", 5.0, 40), ("b", 2.5, 20), ("c", 0.1, 3), ("d", 1.4, 1)]
+    got = {}
+    for r in _slots(spark, plan, slot_rows=7).collect():
+        got.setdefault(r.key, {})[r.n] = r.slot
+    lo = 0
+    for key, weight, blocks in plan:
+        hi = lo + int(weight / 9.0 * (4096 - 4)) + 1
+        mine = (k for k in range(1 << 20) if lo <= int(f"{k % 4096:012b}"[::-1], 2) < hi)
+        want = [next(mine) for _ in range(blocks)]
+        assert [got[key][n] for n in range(blocks)] == want and len(got[key]) == blocks, key
+        lo = hi
+
+
+def test_a_tiny_source_needs_few_slots(spark):
+    got = _slots(spark, [("big", 1e9, 244_142), ("tiny", 10.0, 2)]).groupBy("key").agg(F.count("*").alias("n"), F.max("n").alias("last"), F.count_distinct("slot").alias("slots")).collect()
+    assert {r.key: (r.n, r["last"], r.slots) for r in got} == {"big": (244_142, 244_141, 244_142), "tiny": (2, 1, 2)}
+    assert [tuple(r) for r in _slots(spark, [("one", 3.0, 3)]).orderBy("n").collect()] == [("one", 0, 0), ("one", 1, 1), ("one", 2, 2)]
+
+
+def test_prefixes_keep_the_shares(spark):
+    _, _, d, t = _mix_tables(spark)
+    rows = mixing.prefix_shares(d.filter("doc_id < 9000"), t, block=200).collect()
+    assert {r.part for r in rows} == set(range(1, 11)) and max(r.deviation for r in rows if r.part >= 3) < 0.05
+    assert all(r.deviation == 0 for r in rows if r.part == 10)
+    assert mixing.prefix_shares(d.limit(0), t).count() == 0
+
+
 def test_mix_of_nothing(spark):
     _, _, d, t = _mix_tables(spark)
     assert mixing.mix(d.limit(0), t).count() == mixing.mix(d, t.limit(0)).count() == 0
