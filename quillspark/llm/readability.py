@@ -2,10 +2,13 @@
 
 Every occurrence of a word rates its document: a word of difficulty b occurs at level k with a
 probability proportional to base_k * exp((k - 3) * b), a Rasch rating scale whose sufficient statistic
-is the mean level of the word's documents. Difficulties and levels are estimated in turn: levels of
-all documents given the words, then difficulties from the expected levels of all documents, those of
-rated documents staying at their rating, all of them. A classifier on a bounded sample of rated documents places
-the result on the raters' scale.
+is the mean level of the word's documents. A document's place on the scale is the mean difficulty of its
+words; the steps between levels on that scale are fitted on rated documents. Difficulties and levels are
+estimated in turn until the difficulties settle: levels of all documents given the words and steps, those of
+rated documents staying at their rating, then difficulties from the levels of all documents.
+
+Which documents are English is a two-class model of word occurrences, fitted on the language column, which
+has errors, and refitted on its own decisions until they stand still.
 """
 
 from __future__ import annotations
@@ -15,22 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.words import WORD, WordHashes
 from quillspark.session import cut_lineage
 
 LEVELS = np.arange(1.0, 6.0)
-BITS, RATED, ROUNDS, PRIOR, TEMPER, LEAST_WORDS = 18, 20_000, 3, 3.0, 24.0, 60
-
-# Frequent function words of the languages told apart.
-ENGLISH = frozenset("the and of to in is that this these those each every for with on by from it its be are was you your not when while at under near or if as which before after then nor his her we our they their has have will can do does an a".split())
-OTHERS = frozenset(
-    "der die das und ist den dem des ein eine einen einem einer nicht mit im von zu zum zur bei auf für nach vor sich wird werden sind durch gemäß ohne unter über aus am dass wenn sie er wir ihr "
-    "le la les et est un une des du dans par pour selon en au aux sur avec ce cette ces qui que ne pas chaque après avant sont se il elle nous vous de ou où dès".split()
-)
-_OTHERS_ONLY = OTHERS - ENGLISH
+BITS, RATED, LABELLED, ROUNDS, SETTLED, PRIOR, SMOOTH, LEAST_WORDS = 18, 20_000, 20_000, 12, 0.01, 3.0, 0.02, 60
 _BROKEN = re.compile("(?<=[^\\W\\d_])[-‐‑–¬\xad][^\\S\n]*\n\\s*(?=[^\\W\\d_])")
 
 
@@ -38,85 +33,79 @@ def words_of(text: str) -> list[str]:
     return WORD.findall((_BROKEN.sub("", text) if "\n" in text else text).lower())
 
 
-def is_english(words: list[str]) -> bool:
-    """More English function words than twice those of the other languages, at least one in 25 words."""
-    own = sum(map(ENGLISH.__contains__, words))
-    return own * 25 >= len(words) > 0 and own > 2 * sum(map(_OTHERS_ONLY.__contains__, words))
+def language_label(lang: Column) -> Column:
+    """1 for a label that begins with "en", 0 for another, null without one or if it is undetermined."""
+    low = F.lower(F.trim(lang))
+    return F.when(low.isin("", "und"), None).when(low.startswith("en"), 1).when(low.isNotNull(), 0)
 
 
-_BAG = pa.schema([("doc_id", pa.int64()), ("words", pa.int32()), ("english", pa.bool_()), ("terms", pa.binary()), ("counts", pa.binary())])
+_BAG = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("words", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("counts", pa.binary()), ("more", pa.binary())])
+_BAG_DDL = "doc_id long, label int, words int, high binary, low binary, counts binary, more binary"
 
 
 def _bag(bits: int):
-    """mapInArrow: (doc_id, text) to a row with the text's hashed words and their counts, if English."""
+    """mapInArrow: (doc_id, text, label) to a row with the text's hashed words and their counts.
+
+    The sorted hashes are stored by their low 16 bits and how many there are for each of the higher bits; counts
+    are bytes, the excess over 255 in ``more``. Three bytes a word in all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, shift = WordHashes(), np.uint64(64 - bits)
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                size, english, terms, counts = [], [], [], []
+                size, high, low, counts, more = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     words = words_of(text or "")
+                    t, n = np.unique((hashes(words) >> shift).astype(np.int64), return_counts=True)
                     size.append(len(words))
-                    english.append(is_english(words))
-                    t, n = np.unique((hashes(words) >> shift).astype(np.uint32), return_counts=True) if english[-1] else (np.zeros(0, np.uint32), np.zeros(0))
-                    terms.append(t.tobytes())
-                    counts.append(n.astype(np.float32).tobytes())
-                yield pa.record_batch([part.column("doc_id"), pa.array(size, pa.int32()), pa.array(english), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], _BAG)
+                    high.append(np.bincount(t >> 16, minlength=1 << (bits - 16)).astype(np.uint32).tobytes())
+                    low.append((t & 0xFFFF).astype(np.uint16).tobytes())
+                    counts.append(np.minimum(n, 255).astype(np.uint8).tobytes())
+                    more.append((n[n >= 255] - 255).astype(np.uint32).tobytes())
+                yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(size, pa.int32()), *(pa.array(x, pa.binary()) for x in (high, low, counts, more))], schema=_BAG)
 
     return run
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flat_bags(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, count) of all bags of a batch."""
-    terms, counts = batch.column("terms").to_pylist(), batch.column("counts").to_pylist()
-    row = np.repeat(np.arange(len(terms)), [len(t) // 4 for t in terms])
-    return row, np.frombuffer(b"".join(terms), np.uint32).astype(np.int64), np.frombuffer(b"".join(counts), np.float32).astype(np.float64)
-
+    joined = lambda name, kind: np.frombuffer(b"".join(batch.column(name).to_pylist()), kind)
+    high = joined("high", np.uint32).reshape(batch.num_rows, 1 << (bits - 16)).astype(np.int64)
+    row = np.repeat(np.arange(batch.num_rows), high.sum(1))
+    term = (np.repeat(np.tile(np.arange(high.shape[1]), batch.num_rows), high.ravel()) << 16) + joined("low", np.uint16)
+    count = joined("counts", np.uint8).astype(np.float64)
+    count[count == 255] += joined("more", np.uint32)
+    return row, term, count
 
-def _rated(ids: np.ndarray, rated: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The rating of each id, nan where there is none."""
-    known, level = rated
-    if not len(known):
-        return np.full(len(ids), np.nan)
-    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-    return np.where(known[at] == ids, level[at], np.nan)
 
+class Steps:
+    """The places of the levels on the difficulty scale, and the cuts between them, from rated documents."""
 
-def _log_levels(b: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """log P(level | word) - log base, by level and word."""
-    x = (LEVELS[:, None] - 3) * b[None]
-    return x - np.log((base[:, None] * np.exp(x)).sum(0))[None]
+    def __init__(self, x: np.ndarray, level: np.ndarray):
+        self.known = np.array([k for k in range(1, 6) if (level == k).any()], float)
+        self.places = np.maximum.accumulate([np.median(x[level == k]) for k in self.known])
+        order = np.argsort(x, kind="stable")
+        xs, cuts = x[order], []
+        for k in range(1, 5):
+            above = level[order] > k
+            wrong = np.concatenate([[0], np.cumsum(above)]) + np.concatenate([[0], np.cumsum((~above)[::-1])])[::-1]
+            at = int(np.argmin(wrong))
+            cuts.append(-np.inf if at == 0 else np.inf if at == len(xs) else (xs[at - 1] + xs[at]) / 2)
+        self.cuts = np.maximum.accumulate(cuts)
 
+    def expected(self, x: np.ndarray) -> np.ndarray:
+        """A level between 1 and 5, in proportion between the places of two levels."""
+        return np.interp(x, self.places, self.known)
 
-def expected_level(row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, gain: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Posterior mean level of each of n bags; long texts count as TEMPER words of evidence."""
-    size = np.maximum(np.bincount(row, count, n), 1)
-    weight = np.minimum(1, TEMPER / size)
-    score = np.stack([np.bincount(row, count * gain[k][term], n) * weight + np.log(base[k]) for k in range(5)])
-    score = np.exp(score - score.max(0))
-    return (LEVELS[:, None] * score).sum(0) / score.sum(0)
+    def level(self, x: np.ndarray) -> np.ndarray:
+        return 1 + (x[:, None] > self.cuts[None]).sum(1)
 
 
-def _statistics(bits: int, gain: np.ndarray | None, base: np.ndarray):
-    """mapInArrow: sums of expected levels and occurrences by word, over a task's documents; the column rating is null where there is none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, number = np.zeros(1 << bits), np.zeros(1 << bits)
-        for batch in batches:
-            row, term, count = _flat(batch)
-            level = batch.column("rating").to_numpy(zero_copy_only=False).astype(np.float64)
-            if gain is not None:
-                level = np.where(np.isnan(level), expected_level(row, term, count, batch.num_rows, gain, base), level)
-            use = ~np.isnan(level[row]) if batch.num_rows else np.zeros(0, bool)
-            count = np.minimum(count, 3.0)  # a word repeated in one text says little more
-            total += np.bincount(term[use], (count * level[row])[use], 1 << bits)
-            number += np.bincount(term[use], count[use], 1 << bits)
-        seen = np.flatnonzero(number)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen]), pa.array(number[seen])], pa.schema([("term", pa.int64()), ("total", pa.float64()), ("number", pa.float64())]))
-
-    return run
+def places(row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, b: np.ndarray) -> np.ndarray:
+    """The mean difficulty of each of n bags."""
+    return np.bincount(row, count * b[term], n) / np.maximum(np.bincount(row, count, n), 1)
 
 
 def difficulties(total: np.ndarray, number: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -132,63 +121,61 @@ def difficulties(total: np.ndarray, number: np.ndarray, base: np.ndarray) -> np.
     return b
 
 
-N_FEATURES = 8
+def english_weights(row: np.ndarray, term: np.ndarray, count: np.ndarray, label: np.ndarray, bits: int, rounds: int = 20) -> np.ndarray:
+    """log P(word | English) - log P(word | not) of each word, of bags whose label is 1, 0 or nan.
 
-
-def features(row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, b: np.ndarray, gain: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Posterior level, mean difficulty, spread, and the shares of words above fixed difficulties."""
-    size = np.maximum(np.bincount(row, count, n), 1)
-    x = b[term]
-    mean = np.bincount(row, count * x, n) / size
-    spread = np.sqrt(np.maximum(np.bincount(row, count * x * x, n) / size - mean**2, 0))
-    shares = [np.bincount(row, count * (x > edge), n) / size for edge in (-1, -0.3, 0.3, 1, 2)]
-    return np.stack([expected_level(row, term, count, n, gain, base), mean, spread, *shares], 1)
+    Fitted on the labels, then on its own decisions on all bags, until they stand still.
+    """
+    weights, kind = np.zeros(1 << bits), label
+    for _ in range(rounds):
+        logs = []
+        for k in (1, 0):
+            n = np.bincount(term, count * (kind[row] == k), 1 << bits) + SMOOTH
+            logs.append(np.log(n / n.sum()))
+        weights = logs[0] - logs[1]
+        now = (np.bincount(row, count * weights[term], len(label)) > 0).astype(float)
+        if (now == kind).all():
+            break
+        kind = now
+    return weights
 
 
-def _scored(b: np.ndarray, base: np.ndarray, model, rated):
-    """mapInArrow: a bag to its features (model None, rated bags only) or to its level."""
-    gain = _log_levels(b, base)
+def _statistics(shared, bits: int):
+    """mapInArrow: sums of levels and occurrences by word, over a task's English documents; without steps over the rated ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, b, steps = shared.value
+        total, number = np.zeros(1 << bits), np.zeros(1 << bits)
         for batch in batches:
-            row, term, count = _flat(batch)
-            x = features(row, term, count, batch.num_rows, b, gain, base)
-            ids, words = batch.column("doc_id"), batch.column("words")
-            if model is None:
-                level = _rated(ids.to_numpy(), rated)
-                use = ~np.isnan(level)
-                yield pa.record_batch([pa.array(level[use]), *(pa.array(x[use, k]) for k in range(N_FEATURES))], names=["level", *(f"f{k}" for k in range(N_FEATURES))])
-            else:
-                p = model(x)
-                yield pa.record_batch([ids, words, batch.column("english"), pa.array(p.argmax(1) + 1, pa.int32()), pa.array(p @ LEVELS), pa.array(x[:, 1])], names=["doc_id", "words", "english", "level", "estimate", "difficulty"])
+            row, term, count = flat_bags(batch, bits)
+            level = batch.column("rating").to_numpy(zero_copy_only=False).astype(np.float64)
+            if steps is not None:
+                level = np.where(np.isnan(level), steps.expected(places(row, term, count, batch.num_rows, b)), level)
+            level[np.bincount(row, count * weights[term], batch.num_rows) <= 0] = np.nan
+            use = ~np.isnan(level[row])
+            total += np.bincount(term[use], (count * level[row])[use], 1 << bits)
+            number += np.bincount(term[use], count[use], 1 << bits)
+        seen = np.flatnonzero(number)
+        yield pa.record_batch([pa.array(seen), pa.array(total[seen]), pa.array(number[seen])], names=["term", "total", "number"])
 
     return run
 
 
-class Softmax:
-    """Multinomial logistic regression on standardised features and their squares, with a ridge."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-3):
-        self.centre, self.scale = x.mean(0), x.std(0) + 1e-9
-        z = self._z(x)
-        self.w = np.zeros((z.shape[1], 5))
-        target, moment, square = np.eye(5)[y - 1], 0.0, 0.0
-        for t in range(1, rounds + 1):  # Adam
-            grad = z.T @ (self._p(z) - target) / len(z) + ridge * self.w
-            moment, square = 0.9 * moment + 0.1 * grad, 0.99 * square + 0.01 * grad**2
-            self.w -= 0.1 * moment / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
+def _levels(shared, bits: int):
+    """mapInArrow: a bag to its level, its place in levels and its mean difficulty; null if not English."""
 
-    def _z(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.centre) / self.scale, -6, 6)
-        return np.concatenate([np.ones((len(z), 1)), z, z * z], 1)
-
-    def _p(self, z: np.ndarray) -> np.ndarray:
-        s = z @ self.w
-        s = np.exp(s - s.max(1, keepdims=True))
-        return s / s.sum(1, keepdims=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, b, steps = shared.value
+        for batch in batches:
+            row, term, count = flat_bags(batch, bits)
+            english = np.bincount(row, count * weights[term], batch.num_rows) > 0
+            x = places(row, term, count, batch.num_rows, b)
+            none = ~english if steps is not None else np.ones(len(x), bool)
+            level, estimate = (steps.level(x), steps.expected(x)) if steps is not None else (x, x)
+            columns = (pa.array(level.astype(np.int32), mask=none), pa.array(estimate, mask=none), pa.array(x, mask=none))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("words"), pa.array(english), *columns], names=["doc_id", "words", "english", "level", "estimate", "difficulty"])
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self._p(self._z(x))
+    return run
 
 
 def mean_ratings(labels: DataFrame) -> DataFrame:
@@ -197,43 +184,52 @@ def mean_ratings(labels: DataFrame) -> DataFrame:
     return means.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("reading_level").alias("level"))
 
 
-def ratings(labels: DataFrame, rated: int = RATED) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mean level) of at most ``rated`` rated documents, chosen by a hash of the id."""
-    rows = mean_ratings(labels).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rated).toPandas().sort_values("doc_id")
-    return rows["doc_id"].to_numpy(np.int64), rows["level"].to_numpy(np.float64)
+def _drawn(bags: DataFrame, most: int, seed: int, bits: int):
+    """(row, term, count), labels and ratings of at most ``most`` bags, chosen by a hash of the id."""
+    some = bags.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).toArrow().combine_chunks()
+    if not some.num_rows:
+        return None
+    batch = some.to_batches()[0]
+    column = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+    return (*flat_bags(batch, bits), column("label"), column("rating"))
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, rated: int = RATED, rounds: int = ROUNDS, bits: int = BITS) -> DataFrame:
-    """One row per document: doc_id, words, english, level (1 to 5), estimate (mean level), difficulty (mean of its words).
+def reading_levels(documents: DataFrame, labels: DataFrame, rated: int = RATED, labelled: int = LABELLED, rounds: int = ROUNDS, settled: float = SETTLED, bits: int = BITS) -> DataFrame:
+    """One row per document: doc_id, words, english, level (1 to 5), estimate (a number between 1 and 5), difficulty (mean of its words).
 
     level, estimate and difficulty are null for documents that are not English or have no words (null
-    or blank texts included), and for all if no document is rated. Repeated rows stay. Words are hashed into
-    2**bits difficulties, so what is sent to executors and driver has a fixed size. ``rated`` bounds the
-    rated documents the classifier is fitted on; documents, ratings and word counts are all used.
+    or blank texts included), and for all if no English document is rated. Repeated rows stay. Rated documents
+    count as labelled English; without a column lang they alone are. Words are hashed into 2**bits difficulties,
+    so what is sent to executors and driver has a fixed size. ``rated`` bounds the rated documents the steps are
+    fitted on and ``labelled`` the documents the language model is fitted on; difficulties and levels
+    come from all documents and all ratings. Ends when the difficulties change by ``settled`` on average, at the
+    latest after ``rounds``.
     """
+    context = documents.sparkSession.sparkContext
     means = mean_ratings(labels)
-    bags = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_bag(bits), "doc_id long, words int, english boolean, terms binary, counts binary")
-    bags = cut_lineage(bags.join(means.withColumnRenamed("level", "rating"), "doc_id", "left"))
-    english, known = bags.filter("english"), ratings(labels, rated)
-    rest = bags.filter("not english").select("doc_id", "words", "english", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("estimate"), F.lit(None).cast("double").alias("difficulty"))
-    if not len(known[0]):
-        return rest.unionByName(english.select("doc_id", "words", "english", *(F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("estimate", "double"), ("difficulty", "double")))))
-    shares = {int(r["level"]): r["count"] for r in means.groupBy(F.rint("level").alias("level")).count().collect()}
-    base = np.array([shares.get(k, 0) for k in range(1, 6)]) + 1.0
-    base /= base.sum()
-    b, gain = np.zeros(1 << bits), None
-    for _ in range(rounds):
-        sums = english.mapInArrow(_statistics(bits, gain, base), "term long, total double, number double").groupBy("term").agg(F.sum("total").alias("total"), F.sum("number").alias("number")).toPandas()
-        term = sums["term"].to_numpy(np.int64)
-        b = np.zeros(1 << bits)
-        b[term] = difficulties(sums["total"].to_numpy(), sums["number"].to_numpy(), base)
-        gain = _log_levels(b, base)
-    ddl = "level double, " + ", ".join(f"f{k} double" for k in range(N_FEATURES))
-    sample = english.mapInArrow(_scored(b, base, None, known), ddl).toPandas().to_numpy(np.float64)
-    if not len(sample):
-        return reading_levels(documents, labels.limit(0), rated, rounds, bits)
-    model = Softmax(sample[:, 1:], np.clip(np.rint(sample[:, 0]), 1, 5).astype(int))
-    return english.mapInArrow(_scored(b, base, model, known), "doc_id long, words int, english boolean, level int, estimate double, difficulty double").unionByName(rest)
+    label = language_label(F.col("lang")) if "lang" in documents.columns else F.lit(None)
+    bags = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", label.cast("int").alias("label")).mapInArrow(_bag(bits), _BAG_DDL)
+    bags = bags.join(means.withColumnRenamed("level", "rating"), "doc_id", "left").withColumn("label", F.coalesce("label", F.when(F.col("rating").isNotNull(), 1)))
+    bags = cut_lineage(bags)
+    out = "doc_id long, words int, english boolean, level int, estimate double, difficulty double"
+    some, known = _drawn(bags.filter("words > 0"), labelled, 5, bits), _drawn(bags.filter("rating is not null and words > 0"), rated, 3, bits)
+    weights, b, steps = (np.zeros(1 << bits) if some is None else english_weights(*some[:4], bits)), np.zeros(1 << bits), None
+    if known is not None:
+        row, term, count, _, level = known
+        n = len(level)
+        english = np.bincount(row, count * weights[term], n) > 0
+        shares = {int(r["level"]): r["count"] for r in means.groupBy(F.rint("level").alias("level")).count().collect()}
+        base = np.array([shares.get(k, 0) for k in range(1, 6)]) + 1.0
+        base /= base.sum()
+        for _ in range(rounds if english.any() else 0):
+            sums = bags.mapInArrow(_statistics(context.broadcast((weights, b, steps)), bits), "term long, total double, number double").groupBy("term").agg(F.sum("total").alias("total"), F.sum("number").alias("number")).toPandas()
+            at, number, before = sums["term"].to_numpy(np.int64), sums["number"].to_numpy(), b
+            b = np.zeros(1 << bits)
+            b[at] = difficulties(sums["total"].to_numpy(), number, base)
+            first, steps = steps is None, Steps(places(row, term, count, n, b)[english], np.rint(level)[english])
+            if not first and (number * np.abs(b - before)[at]).sum() <= settled * number.sum():
+                break
+    return bags.mapInArrow(_levels(context.broadcast((weights, b, steps)), bits), out)
 
 
 def documents_of_level(documents: DataFrame, labels: DataFrame, level: int = 5, least_words: int = LEAST_WORDS, **options) -> DataFrame:

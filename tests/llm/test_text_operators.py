@@ -284,10 +284,37 @@ def test_difficulties_meet_the_mean_level():
     assert mean == pytest.approx([(450 + 3 * prior) / 103, max(1.02, (100 + 3 * prior) / 103), prior], abs=1e-3)
 
 
-def test_english():
-    w = readability.words_of
-    assert readability.is_english(w("Press this screw under the rack.")) and not readability.is_english(w("Die Pumpe ist in der Werkstatt."))
-    assert not readability.is_english([]) and w("circu-\nmstance") == ["circumstance"]
+def test_language_by_a_column_with_errors(spark):
+    rng = random.Random(9)
+    pools = {"en": [f"en{i}" for i in range(80)], "de": [f"de{i}" for i in range(80)], "zh": list("检索系统的评测问题集合在此")}
+    docs, truth = [], {}
+    for i in range(400):
+        lang = rng.choice(list(pools))
+        truth[i] = lang == "en"
+        label = rng.choice([lang] * 7 + [lang.upper() + " ", None, "und", rng.choice(list(pools))])
+        docs.append((i, " ".join(rng.choices(pools[lang], k=40) + rng.choices(["10", "mm"], k=5)), label))
+    d = spark.createDataFrame([*docs, (900, "", "en"), (901, None, None)], "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, 1 + i % 5, "r") for i in range(400) if truth[i]][:50], "doc_id long, reading_level int, rater string")
+    got = {r.doc_id: r for r in readability.reading_levels(d, lab, labelled=300).collect()}
+    assert {i: got[i].english for i in truth} == truth and not got[900].english and not got[901].english
+    assert all((got[i].level is not None) == truth[i] for i in truth)
+    assert readability.words_of("circu-\nmstance") == ["circumstance"]
+
+
+def test_bags_keep_all_counts():
+    import pyarrow as pa
+
+    texts = ["a " * 300 + "b c c", "", None, "x"]
+    batch = pa.record_batch([pa.array(range(4)), pa.array([1, 0, None, 1], pa.int32()), pa.array(texts)], names=["doc_id", "label", "text"])
+    (out,) = readability._bag(18)(iter([batch]))
+    row, term, count = readability.flat_bags(out, 18)
+    assert sorted(count[row == 0]) == [1, 2, 300] and sorted(row) == [0, 0, 0, 3] and out.column("words").to_pylist() == [303, 0, 0, 1]
+    assert term.max() < 1 << 18 and (np.diff(term[:3]) > 0).all()
+
+
+def test_steps_between_levels():
+    s = readability.Steps(np.array([0.0, 0.1, 1.0, 1.1, 5.0]), np.array([1, 1, 3, 3, 5]))
+    assert list(s.level(np.array([-1, 0.5, 0.6, 2.9, 3.1]))) == [1, 1, 3, 3, 5] and s.expected(np.array([0.05, 1.05, 9.0])) == pytest.approx([1, 3, 5])
 
 
 # ---- scanned pages
