@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.knn import wide_hash
 from quillspark.session import cut_lineage
 
+HOT = 1000
+
 # Letters of other scripts that have the glyph of a Latin letter, and that letter.
 CYRILLIC = dict(zip("АВЕКМНОРСТУХІЈЅаеорсухіјѕԁһԛԝӏ", "ABEKMHOPCTYXIJSaeopcyxijsdhqwl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
@@ -157,17 +160,41 @@ def uniform_text(texts: DataFrame) -> DataFrame:
     return plain.unionByName(kept)
 
 
-def lookalike_pairs(texts: DataFrame) -> DataFrame:
+def _keyed(texts: DataFrame) -> DataFrame:
+    """(key, f, c) of the records of a table (key, text): 128-bit hashes of the form and of the text."""
+    formed = uniform_text(texts.filter("key is not null and text is not null"))
+    return cut_lineage(formed.select("key", wide_hash("form").alias("f"), wide_hash("text").alias("c")).distinct())
+
+
+def lookalike_classes(texts: DataFrame) -> DataFrame:
+    """(key, class_key, texts), one row per record of a table (key, text): the smallest key of the records that look
+    the same, and how many different texts these have.
+
+    Null keys and texts take no part; repeated rows count once. A key repeated with texts of several forms has a row for each.
+    """
+    keyed = _keyed(texts)
+    forms = keyed.groupBy("f", "c").agg(F.min("key").alias("k")).groupBy("f").agg(F.min("k").alias("class_key"), F.count("*").cast("int").alias("texts"))
+    return keyed.select("key", "f").distinct().join(forms, "f").select("key", "class_key", "texts")
+
+
+def lookalike_pairs(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(key_a < key_b) of records of a table (key, text) that have one form but different texts.
 
-    Null keys and texts take no part; repeated rows count once. Only forms with several different texts are joined.
+    Null keys and texts take no part; repeated rows count once. Different texts of one form are paired first;
+    then each takes its records, those of a text of more than ``hot`` records in parts, so that no task holds
+    all copies of a popular text. Texts that no other looks like are never joined.
     """
-    formed = uniform_text(texts.filter("key is not null and text is not null")).distinct()
-    formed = formed.withColumn("h", F.xxhash64("form"))
-    mixed = formed.groupBy("h").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).filter("lo != hi").select("h")
-    some = formed.join(mixed, "h")
-    a, b = (some.select("h", "form", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "text"))) for x in "ab")
-    return a.join(b, ["h", "form"]).filter("key_a < key_b and text_a != text_b").select("key_a", "key_b").distinct()
+    keyed = _keyed(texts)
+    classes = keyed.groupBy("f", "c").agg(F.count("*").alias("n"))
+    several = classes.groupBy("f").agg(F.count("*").alias("texts")).filter("texts > 1").drop("texts")
+    mixed = cut_lineage(classes.join(several, "f").withColumn("parts", F.ceil(F.col("n") / hot).cast("int")))
+    members = keyed.join(mixed.select("f", "c", "parts"), ["f", "c"]).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    one, other = mixed.select("f", F.col("c").alias("c_a"), F.col("parts").alias("p_a")), mixed.select("f", F.col("c").alias("c_b"), F.col("parts").alias("p_b"))
+    spread = lambda p: F.sequence(F.lit(0), F.col(p) - 1)
+    pairs = one.join(other, "f").filter("c_a < c_b").select("c_a", "c_b", F.explode(spread("p_a")).alias("part_a"), "p_b")
+    pairs = pairs.join(members.select(F.col("c").alias("c_a"), F.col("part").alias("part_a"), F.col("key").alias("x")), ["c_a", "part_a"])
+    pairs = pairs.select("x", "c_b", F.explode(spread("p_b")).alias("part_b")).join(members.select(F.col("c").alias("c_b"), F.col("part").alias("part_b"), F.col("key").alias("y")), ["c_b", "part_b"])
+    return pairs.filter("x != y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def blocks_and_queries(blocks: DataFrame, requests: DataFrame) -> DataFrame:

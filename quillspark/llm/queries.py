@@ -33,6 +33,10 @@ def p2_uniform(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.uniform_text(_texts(spark, folder)).distinct()
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.lookalike_classes(_texts(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), leakage.item_texts(table(spark, folder, "eval_cases")))
 
@@ -69,7 +73,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
     return readability.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_uniform, p6_found, p6_substituted, p6_passages, p7_found, p7_mix, p7_shares, p7_prefixes, p8_found, p8_levels)} | corpus.QUERIES
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p1_scanned_blocks, p2_found, p2_classes, p2_uniform, p6_found, p6_substituted, p6_passages, p7_found, p7_mix, p7_shares, p7_prefixes, p8_found, p8_levels)} | corpus.QUERIES
 
 # The form in SQL: usual characters by rule, invisible ones dropped, look-alikes as Latin letters, composed.
 _WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
@@ -99,6 +103,11 @@ SQL = {
                    UNION SELECT DISTINCT 'query-' || request_id, query FROM search_requests WHERE query IS NOT NULL),
         f AS (SELECT key, text, {_FORM} AS form FROM t)
         SELECT DISTINCT a.key AS key_a, b.key AS key_b FROM f a JOIN f b ON a.form = b.form AND a.key < b.key AND a.text <> b.text""",
+    "p2_classes": f"""
+        WITH t AS (SELECT DISTINCT 'block-' || block_id AS key, text FROM layout_blocks WHERE text IS NOT NULL
+                   UNION SELECT DISTINCT 'query-' || request_id, query FROM search_requests WHERE query IS NOT NULL),
+        f AS (SELECT key, text, {_FORM} AS form FROM t), c AS (SELECT form, min(key) AS class_key, count(DISTINCT text) AS texts FROM f GROUP BY 1)
+        SELECT DISTINCT key, class_key, texts FROM f JOIN c USING (form)""",
     "p6_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, id AS case_id FROM d JOIN i ON a = b",
     # With one word replaced, the first or the last six words of a window are the same.
     "p6_substituted": f"""WITH {_LEAKS}, j AS (SELECT doc_id, id, a, b FROM d JOIN i ON a[1:6] = b[1:6] UNION ALL SELECT doc_id, id, a, b FROM d JOIN i ON a[7:12] = b[7:12])

@@ -382,3 +382,15 @@ def test_roman_numbers_and_skeletons(spark):
     s = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(ocr.skeleton(F.col("w"))).collect()]
     assert s[0] == s[1] == s[2] and s[3] == s[4] and s[5] == s[6] and s[7] == s[8] and s[9] == s[10] and s[0] != s[3]
     assert re.fullmatch("[a-z]+", s[0])
+
+
+def test_pairs_of_popular_texts_in_parts(spark):
+    rows = [(f"k{i:02}", "pump") for i in range(12)] + [(f"m{i}", "рump") for i in range(5)] + [("z", "puｍp"), ("q", "valve"), ("q2", "valve"), ("k00", "pump"), (None, "pump"), ("n", None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "key string, text string, parts int")
+    text = {k: t for k, t in rows if k and t and k not in ("q", "q2")}
+    want = {(a, b) for a in text for b in text if a < b and text[a] != text[b]}
+    for hot in (2, 1000):
+        assert {tuple(r) for r in lookalike.lookalike_pairs(df, hot).collect()} == want
+    got = {r.key: (r.class_key, r.texts) for r in lookalike.lookalike_classes(df).collect()}
+    assert got == {k: ("k00", 3) for k in text} | {"q": ("q", 1), "q2": ("q", 1)}
+    assert lookalike.lookalike_pairs(df.limit(0)).count() == lookalike.lookalike_classes(df.limit(0)).count() == 0
