@@ -394,3 +394,22 @@ def test_pairs_of_popular_texts_in_parts(spark):
     got = {r.key: (r.class_key, r.texts) for r in lookalike.lookalike_classes(df).collect()}
     assert got == {k: ("k00", 3) for k in text} | {"q": ("q", 1), "q2": ("q", 1)}
     assert lookalike.lookalike_pairs(df.limit(0)).count() == lookalike.lookalike_classes(df.limit(0)).count() == 0
+
+
+def test_only_the_misread_occurrence_is_replaced(spark):
+    body = [f"w{i} x{i} and the pump feeds y{i} valve z{i} at 50 bar" for i in range(12)]
+    body[5] = "the purnp and the pump, the pump"
+    body[6] = "the valve at 5O bar and at 50 bar"
+    rows = [(f"{i}", "v", 1, i, t, 0.9) for i, t in enumerate(body)]
+    text = " ".join(r.text for r in ocr.paragraphs(spark.createDataFrame(rows, LINE)).orderBy("page", "paragraph").collect())
+    assert "the pump and the pump, the pump" in text and "at 50 bar and at 50 bar" in text and "purnp" not in text
+
+
+def test_lines_without_a_page_are_read_in_sheets(spark):
+    rows = [(f"{i}", "v", None, i, f"the pump feeds valve number w{i} of the line", 0.9) for i in range(2500)]
+    rows[1499] = ("1499", "v", None, 1499, "the pump feeds the con-", 0.9)
+    rows[1500] = ("1500", "v", None, 1500, "troller and stops", 0.9)
+    df = spark.createDataFrame(rows, LINE)
+    assert {tuple(r) for r in ocr.defects(df).collect()} == {("1499", "broken_word")}
+    got = ocr.paragraphs(df).collect()
+    assert all(r.page is None for r in got) and sum(r.text.count("pump") for r in got) == 2499 and any("controller and stops" in r.text for r in got)
