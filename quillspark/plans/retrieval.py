@@ -275,7 +275,7 @@ _DOCS = f"""
     ready AS (SELECT document_id, id AS active_version_id FROM (SELECT * FROM document_versions WHERE state = 'ready' QUALIFY {_LATEST})),
     place AS (SELECT payload.document_id AS document_id, min({{'c': payload.canonical_path, 'k': payload.knowledge_base_id}}) AS p FROM vector_records WHERE payload.document_id IS NOT NULL GROUP BY 1),
     docs AS (SELECT l.document_id, p.k AS knowledge_base_id, p.c AS canonical_path, active_version_id, l.state <> 'deleted' AS visible, l.state
-             FROM latest l LEFT JOIN ready USING (document_id) JOIN place USING (document_id)),
+             FROM latest l LEFT JOIN ready USING (document_id) LEFT JOIN place USING (document_id)),
     chunk AS (SELECT DISTINCT ON (id) * FROM chunks),
     active AS (SELECT c.*, d.document_id, d.knowledge_base_id, d.canonical_path FROM chunk c JOIN docs d ON c.document_version_id = d.active_version_id AND d.visible),
     status AS (SELECT document_id, knowledge_base_id, visible, state, coalesce(n, 0) AS chunk_count FROM docs LEFT JOIN (SELECT document_version_id, count(*) AS n FROM chunk GROUP BY 1) c ON c.document_version_id = active_version_id)"""
@@ -287,11 +287,10 @@ _UNIQUE = r"""
     keyed AS (SELECT doc_id, p, list_transform(p, lambda x: regexp_replace(x, '\s+', '', 'g')) AS k FROM parts),
     uniq AS (SELECT doc_id, array_to_string(list_filter(p, lambda x, i: list_position(k, k[i]) = i), chr(10) || chr(10)) AS text FROM keyed)"""
 _VECTORS = """
-    v AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0),
+    v AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON {on} WHERE a.vec_id % 100 = 0),
     near AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank, round(c, 6) AS score FROM v QUALIFY rank <= 10)"""
 _NEAR = """
-    anchor AS (SELECT * FROM active WHERE chunk_index % 100 = 5),
-    near AS (SELECT a.id AS anchor_id, a.chunk_index AS anchor_index, c.id, c.document_version_id, c.chunk_index, c.text FROM anchor a JOIN active c
+    near AS (SELECT a.id AS anchor_id, a.chunk_index AS anchor_index, c.id, c.document_version_id, c.chunk_index, c.text FROM active a JOIN active c
              ON c.document_version_id = a.document_version_id AND abs(c.chunk_index - a.chunk_index) <= 3 AND (coalesce(len(a.section_path), 0) = 0 OR a.section_path IS NOT DISTINCT FROM c.section_path)
              QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY abs(c.chunk_index - a.chunk_index), c.chunk_index, c.id) <= 12)"""
 _CELLS = r"""
@@ -352,27 +351,27 @@ SQL = {
         s AS (SELECT query_id, id, round(sum(greatest(ln((nd - df + 0.5) / (df + 0.5)), CASE WHEN ln((nd - df + 0.5) / (df + 0.5)) > 0 THEN 0 ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
               FROM (SELECT query_id, word, lower(word) AS w FROM q) JOIN tf USING (w) JOIN df USING (w), n GROUP BY 1, 2)
         SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM s QUALIFY rank <= 10""",
-    "contains_search": r"""WITH c AS (SELECT id AS query_id, min(question) AS question FROM eval_cases WHERE id LIKE '%0' GROUP BY 1),
+    "contains_search": r"""WITH c AS (SELECT id AS query_id, min(question) AS question FROM eval_cases GROUP BY 1),
         q AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9_.-]*'), lambda x: len(x) >= 2))) AS w FROM c),
         k AS (SELECT DISTINCT ON (id) id, text, token_count, chunk_index FROM chunks),
         s AS (SELECT query_id, k.id, k.token_count, k.chunk_index, 20.0 * count(*) AS score FROM q JOIN k ON contains(lower(k.text), lower(w)) GROUP BY ALL)
         SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, token_count, chunk_index, id) AS rank, score FROM s QUALIFY rank <= 10""",
     "field_search": rf"""WITH {_DOCS}, w(query_id, field) AS (VALUES (1, 'gearbox'), (2, 'Pump'), (3, '50 %'), (4, '阀门'))
         SELECT query_id, document_id, count(*) AS matched_chunks, sum((len(text) - len(replace(text, field, ''))) // len(field)) AS occurrences FROM active JOIN w ON contains(lower(text), lower(field)) GROUP BY 1, 2""",
-    "vector_search": f"WITH {_VECTORS} SELECT query_id, id, rank, score FROM near",
-    "vector_search_filtered": f"WITH {_VECTORS} SELECT query_id, id, rank, score FROM near",
-    "fused_ranks": f"""WITH {_VECTORS}, l AS (SELECT query_id, id, rank, 'vector' AS source FROM near UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id), 'id' FROM near)
+    "vector_search": f"WITH {_VECTORS.format(on='true')} SELECT query_id, id, rank, score FROM near",
+    "vector_search_filtered": f"WITH {_VECTORS.format(on='a.label = b.label')} SELECT query_id, id, rank, score FROM near",
+    "fused_ranks": f"""WITH {_VECTORS.format(on='true')}, l AS (SELECT query_id, id, rank, 'vector' AS source FROM near UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id), 'id' FROM near)
         SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM l GROUP BY 1, 2""",
     "hash_embeddings": r"""WITH q AS (SELECT DISTINCT request_id, query FROM search_requests), w AS (SELECT request_id, query, list_filter(string_split(trim(regexp_replace(query, '[\s\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM q),
         h AS (SELECT request_id, pos, sha256(unnest(CASE WHEN len(w) > 0 THEN w ELSE [query] END)) AS h FROM w, (SELECT 1 AS pos)),
         b AS (SELECT request_id, i, sum(('0x' || substr(h, 2 * i + 1, 2))::INT / 255.0 - 0.5) AS x FROM h, (SELECT unnest(generate_series(0, 31)) AS i) GROUP BY ALL)
         SELECT request_id, i, round(CASE WHEN sum(x * x) OVER (PARTITION BY request_id) > 0 THEN x / sqrt(sum(x * x) OVER (PARTITION BY request_id)) ELSE 0 END, 6) AS x FROM b""",
     "context_windows": f"WITH {_DOCS}, {_NEAR} SELECT anchor_id, id, chunk_index FROM near",
-    "context_segments": f"""WITH {_DOCS}, {_NEAR}, o AS (SELECT document_version_id, chunk_index, min(text) AS text, min(anchor_index) AS a FROM near GROUP BY 1, 2),
-        r AS (SELECT *, chunk_index - row_number() OVER (PARTITION BY document_version_id ORDER BY chunk_index) AS run FROM o), m AS (SELECT *, chunk_index - min(a) OVER (PARTITION BY document_version_id, run) AS off FROM r)
+    "context_segments": f"""WITH {_DOCS}, {_NEAR}, o AS (SELECT anchor_id, document_version_id, chunk_index, min(text) AS text, min(anchor_index) AS a FROM near GROUP BY 1, 2, 3),
+        r AS (SELECT *, chunk_index - row_number() OVER (PARTITION BY anchor_id, document_version_id ORDER BY chunk_index) AS run FROM o), m AS (SELECT *, chunk_index - min(a) OVER (PARTITION BY anchor_id, document_version_id, run) AS off FROM r)
         SELECT document_version_id, min(chunk_index) AS first_index, max(chunk_index) AS last_index, count(*) AS chunks,
             md5(string_agg('【' || CASE WHEN off = 0 THEN '命中块' WHEN off < 0 THEN '前文第 ' || -off || ' 块' ELSE '后文第 ' || off || ' 块' END || '】' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_index)) AS text_md5
-        FROM m GROUP BY document_version_id, run""",
+        FROM m GROUP BY anchor_id, document_version_id, run""",
     "table_cells": f'WITH {_CELLS} SELECT key, table_no, row, "column", header, value FROM cell',
     "table_columns": rf"""WITH {_CELLS}, x AS (SELECT c.*, l.value AS label, replace(c.value, ',', '')::DOUBLE AS x FROM cell c JOIN cell l ON l.key = c.key AND l.table_no = c.table_no AND l.row = c.row AND l."column" = 0
             WHERE c."column" > 0 AND regexp_full_match(trim(replace(c.value, ',', '')), '-?\d+(\.\d+)?'))
