@@ -185,8 +185,10 @@ def mean_ratings(labels: DataFrame) -> DataFrame:
 
 
 def _drawn(bags: DataFrame, most: int, seed: int, bits: int):
-    """(row, term, count), labels and ratings of at most ``most`` bags, chosen by a hash of the id."""
-    some = bags.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).toArrow().combine_chunks()
+    """(row, term, count), labels and ratings of at most ``most`` bags, chosen by a hash of the id; others don't leave their partition."""
+    share = min(1.0, (most + 5 * most**0.5) / max(bags.count(), 1))
+    some = bags.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 40)) < int(share * (1 << 40)))
+    some = some.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).toArrow().combine_chunks()
     if not some.num_rows:
         return None
     batch = some.to_batches()[0]
