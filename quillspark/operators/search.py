@@ -6,14 +6,17 @@ side: texts are scanned once against the batch's terms.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.text import ascii_lower, collapse, contains_like, cosine, display_text, file_name, index_tokens, occurrences, excerpt, text_key
+from quillspark.functions.text import ASCII_LOWER, ASCII_UPPER, ascii_lower, collapse, contains_like, display_text, file_name, index_tokens, occurrences, excerpt, text_key
 from quillspark.operators import terms
 from quillspark.operators.catalog import allowed
+from quillspark.operators.scan import Bm25, Cosine, Terms, top_by_scan
+from quillspark.session import cut_lineage
 
 K1, B, RRF, LEAST_IDF = 1.2, 0.75, 60, 1e-6
 LIST_K, CANDIDATES, SIMPLE_CANDIDATES, PER_DOCUMENT, FINAL_K, MOST_K = 40, 12, 6, 3, 10, 50
@@ -30,25 +33,33 @@ def top(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, id, score) of documents (id, indexed) that hold at least one of a query's terms.
+def bm25_hits(queries: DataFrame, documents: DataFrame, k: int = LIST_K, places: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k best documents (id, indexed) that hold at least one of a query's terms; ties to the smaller id.
 
     A term is a phrase of index tokens; a phrase's frequency counts its places. Statistics are over all
-    documents given. queries: query_id, fts array<string>. Terms without a token find nothing.
+    documents given; with ``places`` (id, document_id, knowledge_base_id) only those that a query may see are
+    hits. queries: query_id, fts array<string>. Terms without a token find nothing. Tokens that no query asks for
+    are dropped where the text is read; pairs of query and document only exist within a scan's batch.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("fts")).alias("term")).withColumn("phrase", index_tokens(F.col("term"))).filter(F.size("phrase") > 0)
-    phrases = asked.select("phrase", F.col("phrase")[0].alias("token"), F.size("phrase").alias("len")).distinct()
+    phrase = lambda t: F.array_join(index_tokens(t), " ")
+    asked = cut_lineage(queries.withColumn("phrases", F.filter(F.transform(F.array_distinct("fts"), phrase), lambda x: x != "")))
+    wanted = asked.select(F.explode("phrases").alias("phrase")).distinct().withColumn("tokens", F.split("phrase", " "))
+    parts = wanted.select("phrase", F.size("tokens").alias("len"), F.posexplode("tokens").alias("offset", "token"))
     docs = documents.select("id", index_tokens(F.col("indexed")).alias("tokens"))
-    size = docs.select("id", F.size("tokens").alias("dl"))
-    stats = size.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    places = docs.select("id", "tokens", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("at", "token")).join(phrases, "token")
-    places = places.filter((F.col("len") == 1) | (F.slice("tokens", F.col("at") + 1, F.col("len")) == F.col("phrase")))
-    tf = places.groupBy("id", "phrase").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df")).join(F.broadcast(stats))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = df.select("phrase", "avgdl", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return asked.join(tf, "phrase").join(df, "phrase").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    found = docs.select("id", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token")).join(parts, "token")
+    single = found.filter("len = 1").groupBy("id", "size", "phrase").agg(F.count("*").alias("tf"))
+    # A phrase is where all its tokens stand at their offsets from one place.
+    begins = found.filter("len > 1").groupBy("id", "size", "phrase", "len", (F.col("at") - F.col("offset")).alias("begin")).agg(F.count("*").alias("n"))
+    tf = single.unionByName(begins.filter("n = len").groupBy("id", "size", "phrase").agg(F.count("*").alias("tf")))
+    rows = cut_lineage(tf.groupBy("id", "size").agg(F.collect_list("phrase").alias("phrases"), F.collect_list("tf").alias("tf")))
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
+    df = rows.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("df")).toPandas()
+    value = np.log((stats["n"] - df["df"] + 0.5) / (df["df"] + 0.5))
+    idf = dict(zip(df["phrase"], np.where(value > 0, value, LEAST_IDF)))
+    keep, scope = [], {}
+    if places is not None:
+        rows, keep, scope = rows.join(places.select("id", "document_id", "knowledge_base_id"), "id"), ["knowledge_base_id", "allowed_document_ids"], _scoped(queries)
+    return top_by_scan(asked.select("query_id", "phrases", *keep), rows, lambda f: Bm25(list(f["phrases"]), idf, stats["mean"] or 1.0, K1, B), k, ["id"], **scope)
 
 
 def restrict(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -58,43 +69,46 @@ def restrict(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFram
     return hits.join(q, "query_id").join(c, "id").filter((F.col("_kb") == F.col("knowledge_base_id")) & allowed(F.col("document_id"), F.col("allowed_document_ids"))).drop("_kb", "allowed_document_ids", "knowledge_base_id")
 
 
-def _term_hits(queries: DataFrame, chunks: DataFrame, column: str, weight: Column, texts: list[str]) -> DataFrame:
-    """(query_id, id, score): sums of the weights of the terms that a chunk of the query's base holds.
+def _low(term: str) -> str:
+    return term.translate(_LOWER)
+
+
+_LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
+ACCESS = ("document_id", "allowed_document_ids")
 
-    Terms of one base are tried on its chunks only; allowed documents are met here, before any limit.
-    """
-    q = queries.select("query_id", "knowledge_base_id", "allowed_document_ids", F.explode(column).alias("t")).select("*", weight.alias("w"), ascii_lower(F.col("t.term") if column == "weighted" else F.col("t")).alias("term"))
-    c = chunks.select("id", "document_id", "knowledge_base_id", *(ascii_lower(F.col(t)).alias(t) for t in texts))
-    held = F.contains(F.col(texts[0]), F.col("term"))
-    for other in texts[1:]:
-        held = held | F.contains(F.col(other), F.col("term"))
-    both = c.join(q, "knowledge_base_id").filter(held & allowed(F.col("document_id"), F.col("allowed_document_ids")))
-    return both.groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
+def _scoped(queries: DataFrame) -> dict:
+    """Base and access, of queries that have them."""
+    return {"same": ["knowledge_base_id"] if "knowledge_base_id" in queries.columns else [], "allow": ACCESS if "allowed_document_ids" in queries.columns else None}
 
-def exact_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks that hold an exact term, in text or indexed text; longer terms weigh more, tables 100 for table questions."""
-    hits = _term_hits(queries, chunks, "exact", F.length("t").cast("double"), ["text", "indexed"])
-    bonus = hits.join(queries.select("query_id", "table"), "query_id").join(chunks.select("id", "content_type", "chunk_index"), "id")
-    return bonus.select("query_id", "id", "chunk_index", (F.col("score") + F.when(F.col("table") & (F.col("content_type") == "table"), 100.0).otherwise(0.0)).alias("score"))
 
+def exact_hits(queries: DataFrame, chunks: DataFrame, k: int = LIST_K) -> DataFrame:
+    """(query_id, id, chunk_index, score, rank): the k best chunks that hold an exact term in their indexed text,
+    ASCII case aside; longer terms weigh more, tables 100 for table questions."""
+    rows = chunks.select("id", "chunk_index", "document_id", "knowledge_base_id", ascii_lower(F.col("indexed")).alias("low"), F.when(F.col("content_type") == "table", 100.0).otherwise(0.0).alias("bonus"))
+    terms_of = lambda f: Terms([[(_low(t), float(len(t))) for t in x] for x in f["exact"]], "low")
+    keep = ["query_id", "exact", "table", *(c for c in ("knowledge_base_id", "allowed_document_ids") if c in queries.columns)]
+    return top_by_scan(queries.select(*keep), rows, terms_of, k, ["chunk_index", "id"], bonus="table", **_scoped(queries))
 
-def contains_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    hits = _term_hits(queries, chunks, "weighted", F.col("t.weight"), ["text"])
-    return hits.join(chunks.select("id", "token_count", "chunk_index"), "id")
 
+def contains_hits(queries: DataFrame, chunks: DataFrame, k: int = LIST_K) -> DataFrame:
+    """(query_id, id, token_count, chunk_index, score, rank): the k chunks of the greatest sum of weights of the terms they hold, ASCII case aside."""
+    keep = [c for c in ("knowledge_base_id", "allowed_document_ids") if c in queries.columns]
+    rows = chunks.select("id", "chunk_index", "token_count", *([ACCESS[0], "knowledge_base_id"] if keep else []), ascii_lower(F.col("text")).alias("low"))
+    terms_of = lambda f: Terms([[(_low(t["term"]), t["weight"]) for t in x] for x in f["weighted"]], "low")
+    return top_by_scan(queries.select("query_id", "weighted", *keep), rows, terms_of, k, ["token_count", "chunk_index", "id"], **_scoped(queries))
 
-def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, exact_type: str = "double") -> DataFrame:
+
+def vector_hits(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k most cosine-similar vectors of each query, all vectors compared.
 
-    queries: query_id, vector and optional filter columns that must equal the vectors' of the same name.
-    The queries are a stated set against all rows; ties go to the smaller id.
+    queries: query_id, vector, optional filter columns that must equal the vectors' of the same name, and optional
+    allowed_document_ids, which are met before the limit. Ties go to the smaller id.
     """
     shared = [c for c in queries.columns if c in vectors.columns and c not in ("vector", "query_id")]
-    q = queries.select("query_id", *shared, F.col("vector").alias("q"))
-    pairs = vectors.join(q, shared) if shared else vectors.join(q)
-    scored = pairs.select("query_id", "id", cosine(F.col("q"), F.col("vector")).cast(exact_type).alias("score")).filter("score is not null")
-    return top(scored, k, F.desc("score"), F.col("id"))
+    allow = ACCESS if ACCESS[1] in queries.columns else None
+    rows = vectors.select("id", "vector", *shared, *([ACCESS[0]] if allow else []))
+    return top_by_scan(queries, rows, lambda f: Cosine(list(f["vector"]), "vector"), k, ["id"], same=shared, allow=allow)
 
 
 def fuse(lists: dict[str, DataFrame], k: int = RRF) -> DataFrame:
@@ -199,26 +213,23 @@ def search(queries: DataFrame, chunks: DataFrame, everything: DataFrame, vectors
 
     queries: query_id, knowledge_base_id, query, allowed_document_ids, and vector if vectors are given; chunks:
     active chunks; everything: all indexed chunks (id, indexed), over which BM25 counts; vectors: id, vector,
-    knowledge_base_id. A query with exact hits uses them as full-text and contains lists and skips the vectors.
+    knowledge_base_id, document_id, of which stale ones take up places as well. Access is met before every limit. A query with exact hits uses them as full-text and contains lists and skips the vectors.
     A rerank column function of (query, text) replaces the lexical score by its own. Blank queries find nothing.
     A query's top_k, if queries have that column and it isn't null, replaces ``limit`` and raises the candidates of a
     complex query to as many; a simple query keeps its own. A query whose top_k isn't in 1 to MOST_K finds nothing.
     """
-    from quillspark.session import cut_lineage
-
     asked_k = F.col("top_k").cast("int") if "top_k" in queries.columns else F.lit(None).cast("int")
     queries = queries.withColumn("top_k", asked_k).filter(F.col("top_k").isNull() | F.col("top_k").between(1, MOST_K))
     chunks = chunks.withColumn("indexed", indexed_text(chunks))
     q = cut_lineage(queries.withColumn("p", terms.parse("query")).select("*", "p.*").drop("p"))
-    exact = top(exact_hits(q, chunks), list_k, F.desc("score"), F.col("chunk_index"), F.col("id")).select("query_id", "id", "rank")
-    exact = cut_lineage(exact)
+    exact = cut_lineage(exact_hits(q, chunks, list_k).select("query_id", "id", "rank"))
     rest = q.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    fts = top(restrict(bm25(rest, everything), rest, chunks), list_k, F.desc("score"), F.col("id"))
-    contains = top(contains_hits(rest, chunks), list_k, F.desc("score"), F.col("token_count"), F.col("chunk_index"), F.col("id"))
+    fts = bm25_hits(rest, everything, list_k, chunks)
+    contains = contains_hits(rest, chunks, list_k)
     pick = ["query_id", "id", "rank"]
     lists = {"fts": exact.unionByName(fts.select(*pick)), "contains": exact.unionByName(contains.select(*pick))}
     if vectors is not None:
-        asked = rest.filter("vector is not null").select("query_id", "vector", "knowledge_base_id")
+        asked = rest.filter("vector is not null").select("query_id", "vector", "knowledge_base_id", "allowed_document_ids")
         lists["vector"] = vector_hits(asked, vectors, list_k)
     fused = fuse(lists).join(q.select("query_id", "complex", "query", "weighted", "quoted", "top_k"), "query_id")
     most = F.greatest(F.lit(candidates), F.col("top_k"))

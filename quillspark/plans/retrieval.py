@@ -98,8 +98,7 @@ def _indexed(s, d) -> DataFrame:
 def _bm25(s, d, k: int) -> DataFrame:
     asked = _cases(s, d).withColumn("fts", terms.parse("query")["fts"])
     texts = table(s, d, "chunks").dropDuplicates(["id"]).select("id", F.col("text").alias("indexed"))
-    hits = search.bm25(asked, texts)
-    return search.top(hits.withColumn("score", F.round("score", 9)), k, F.desc("score"), F.col("id")).select("query_id", "id", "rank", "score")
+    return search.bm25_hits(asked, texts, k).select("query_id", "id", "rank", "score")
 
 
 def bm25_search(s, d):
@@ -109,10 +108,9 @@ def bm25_search(s, d):
 
 def contains_search(s, d):
     """The ten chunks that hold most of a held-out question's distinct ASCII words of two characters or more, each word worth 20."""
-    asked = _cases(s, d).withColumn("weighted", terms.parse("query")["weighted"]).withColumn("knowledge_base_id", F.lit("")).withColumn("allowed_document_ids", F.lit(None).cast("array<string>"))
-    texts = table(s, d, "chunks").dropDuplicates(["id"]).withColumn("knowledge_base_id", F.lit("")).withColumn("document_id", F.col("document_version_id"))
-    hits = search.contains_hits(asked, texts)
-    return search.top(hits, 10, F.desc("score"), F.col("token_count"), F.col("chunk_index"), F.col("id")).select("query_id", "id", "rank", "score")
+    asked = _cases(s, d).withColumn("weighted", terms.parse("query")["weighted"])
+    hits = search.contains_hits(asked, table(s, d, "chunks").dropDuplicates(["id"]), 10)
+    return hits.select("query_id", "id", "rank", "score")
 
 
 def field_search(s, d):
@@ -149,7 +147,7 @@ def _hits(s, d, requests: DataFrame) -> DataFrame:
     r = table(s, d, "vector_records").select("id", "vector", F.col("payload.knowledge_base_id").alias("knowledge_base_id")).filter("vector is not null and knowledge_base_id is not null").dropDuplicates(["id"])
     # The stored vectors come from a model that isn't here; texts and queries get the hash embedding.
     embedded = _active(s, d)
-    v = embedded.select("id", X.embed(search.indexed_text(embedded)).alias("vector"), "knowledge_base_id").join(r.select("id"), "id", "left_semi")
+    v = embedded.select("id", X.embed(search.indexed_text(embedded)).alias("vector"), "knowledge_base_id", "document_id").join(r.select("id"), "id", "left_semi")
     q = requests.withColumn("vector", X.embed("query"))
     return search.search(q, embedded, _indexed(s, d), v)
 

@@ -21,7 +21,7 @@ def test_bm25_as_sqlite(spark, corpus):
     db.executemany("insert into f values (?, ?)", corpus)
     queries = [("q1", ["alpha", "valve"]), ("q2", ["foo_bar"]), ("q3", ["the", "pump gear"]), ("q4", ["cafe", "中文检索"]), ("q5", ["absent"]), ("q6", ["--"])]
     q = spark.createDataFrame(queries, "query_id string, fts array<string>")
-    got = {(r.query_id, r.id): r.score for r in search.bm25(q, spark.createDataFrame(corpus, "id string, indexed string")).collect()}
+    got = {(r.query_id, r.id): r.score for r in search.bm25_hits(q, spark.createDataFrame(corpus, "id string, indexed string"), 1000).collect()}
     want = {}
     for name, terms_ in queries[:5]:
         match = " OR ".join(f'"{t}"' for t in terms_)
