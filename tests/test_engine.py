@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import answers, context, layout, metrics, packer, sync, tables_qa
+from quillspark.operators import answers, claims, context, layout, metrics, packer, review, sync, tables_qa
 from quillspark.sources import parsers
 from quillspark.sources.store import Store, read_jsonl, write_jsonl
 from quillspark.streaming import feed
@@ -95,14 +95,14 @@ TABLE = "| 名称 | 天猫 | 京东 |\n| --- | :---: | ---: |\n| 产品A | 90 |
 
 
 def test_table_answers(spark):
-    ((head, rows),) = tables_qa.parse_tables(TABLE)
-    assert head == ["名称", "天猫", "京东"] and len(rows) == 2
-    say = lambda q: tables_qa.answer_table(q, head, rows)
-    assert "合计为 1175（90 + 1085）" in say("产品A 的合计")
-    assert "天猫 列的数值合计为 97" in say("天猫 总和")
-    assert "最大值是 1085，对应 产品A" in say("京东最高")
-    assert say("产品B 的天猫") == "表格中，产品B 的 天猫 是 7。"
-    assert say("无关") is None and say("最高") is None
+    asked = ["产品A 的合计", "天猫 总和", "京东最高", "产品B 的天猫", "无关", "最高", "京东最低", "产品B 求和"]
+    df = spark.createDataFrame([(i, q, TABLE) for i, q in enumerate(asked)] + [(90, "京东最高", "no table"), (91, None, TABLE), (92, "京东最高", None), (93, "产品C 的 v", "| a | b |\n| --- | --- |\n| x | 1 |\n\n| k | v |\n| --- | --- |\n| 产品C | 0.125 |")], "key int, question string, text string")
+    got = {r.key: r.answer for r in tables_qa.answer_tables(df).collect()}
+    assert "合计为 1175（90 + 1085）" in got[0] and "天猫 列的数值合计为 97" in got[1]
+    assert "最大值是 1085，对应 产品A" in got[2] and got[3] == "表格中，产品B 的 天猫 是 7。"
+    assert "最小值是 85.5，对应 产品B" in got[6] and "合计为 92.5（7 + 85.5）" in got[7] and got[93] == "表格中，产品C 的 v 是 0.125。"
+    assert set(got) == {0, 1, 2, 3, 6, 7, 93} and tables_qa.answer_tables(df.limit(0)).count() == 0
+    head = ["名称", "天猫", "京东"]
     cells = tables_qa.table_cells(spark.createDataFrame([("t", TABLE), ("n", None)], "id string, m string"), "id", "m").collect()
     assert len(cells) == 6 and {r.header for r in cells} == set(head)
     s = {r.header: r for r in tables_qa.column_summary(spark.createDataFrame(cells)).collect()}
@@ -116,13 +116,46 @@ def test_total_line(spark):
     assert got == ["根据《f.xlsx》的合计行，总价为 1,200.5，医院总价为 99。", None]
 
 
-def test_claims():
-    assert answers.split_claims("A is 5.[1] B is 6. Cold. 中文。尾") == ["A is 5.[1]", "B is 6. Cold.", "中文。", "尾"]
-    assert answers.supported("The pump runs at 50 bar", "pump: 50 bar, runs")
-    assert not answers.supported("The pump runs at 60 bar", "pump runs at 50 bar")
-    assert answers.verify("pump pressure", "The pump runs at 50 bar. The moon is 7 km wide.", ["pump runs at 50 bar"], [1.0]) == "The pump runs at 50 bar.[1]"
-    assert answers.verify("pump", "Nothing 9.", ["pump text"], [1.0]) == "pump text [1]"
-    assert answers.verify("q", "", [], []) == ""
+def test_claims(spark):
+    drafts = [(1, "A is 5.[1] B is 6. Cold. 中文。尾"), (2, "- one [2][1]\nat 3 V"), (3, ""), (4, None)]
+    got = {}
+    for r in claims.claims(spark.createDataFrame(drafts, "query_id int, draft string")).orderBy("query_id", "at").collect():
+        got.setdefault(r.query_id, []).append((r.claim, r.bare, r.cited))
+    assert [c for c, _, _ in got[1]] == ["A is 5.[1]", "B is 6. Cold.", "中文。", "尾"] and set(got) == {1, 2}
+    assert got[2] == [("- one [2][1]", "one", [2, 1]), ("at 3 V", "at 3 V", [])] or [b for _, b, _ in got[2]][0] == "one"
+
+
+def test_claims_are_held_by_quotes(spark):
+    pairs = [("The pump runs at 50 bar", "pump: 50 bar, runs"), ("The pump runs at 60 bar", "pump runs at 50 bar"), ("", "x"), ("Literal Text", "a literaltext b"), ("12 kg", "12kg")]
+    df = spark.createDataFrame(pairs, "c string, q string").select(claims.held(F.col("c"), F.col("q")))
+    assert [r[0] for r in df.collect()] == [True, False, False, True, True]
+    rows = [
+        (1, "pump pressure", "The pump runs at 50 bar. The moon is 7 km wide.", ["pump runs at 50 bar"], [1.0]),
+        (2, "pump", "Nothing 9.", ["pump text"], [1.0]),
+        (3, "q", "", [], []),
+        (4, "pump valve", "The valve closes.[2][9] The pump runs.", ["pump runs", "valve closes"], [1.0, 2.0]),
+        (5, "pump", None, ["other", "a pump", "the pump"], [3.0, 1.0, 1.0]),
+    ]
+    answers = spark.createDataFrame(rows, "query_id int, question string, draft string, quotes array<string>, scores array<double>")
+    got = {r.query_id: r.text for r in claims.verified(answers).collect()}
+    assert got == {1: "The pump runs at 50 bar.[1]", 2: "pump text [1]", 3: "", 4: "The valve closes.[2]\nThe pump runs.[1]", 5: "a pump [2]"}
+
+
+def test_review_of_answers(spark):
+    c = lambda f, *rows: [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").orderBy("i").select(f(F.col("a"), F.col("b"))).collect()]
+    assert c(lambda a, b: review.finalized(a, F.lit(2)), ("<think>x\ny</think>答案：ok [3][02]  go", ""), ("none", ""), ("<think>", ""), ("", ""), (None, "")) == ["ok [2] go", "none [1]", None, None, None]
+    assert c(review.reviewed, ("a", "b"), ("a", None), ("a", "证据不足"), ("证据不足", "证据不足!")) == ["b", "a", "a", "证据不足!"]
+    text = "intro\n1. one\n2. two\n\n1. first\n2. second\n3. third\nend\n5. no"
+    (items,) = c(lambda a, b: review.outline(a), (text, ""))
+    assert [(x.number, x.title) for x in items] == [(1, "first"), (2, "second"), (3, "third")]
+    done = c(lambda a, b: review.completed(a, b, F.array(review.outline(F.lit("x")), review.outline(F.lit(text)))), ("有哪些", "first and second"), ("有哪些", "first second third"), ("other", "no"))
+    assert done == ["依据原文，共有 3 项：1. first；2. second；3. third。[2]", "first second third", "no"]
+    assert c(lambda a, b: review.wants_second(a, b, F.array(F.lit(text)), F.array(review.outline(F.lit(text)))), ("q", "first second third"), ("q", "first")) == [False, True]
+    assert c(lambda a, b: review.wants_review(a, F.lit(False), F.array(review.outline(F.lit("x")))), ("为什么", ""), ("pump", "")) == [True, False]
+    assert c(lambda a, b: review.heading_level(a), ("第一章 x", ""), ("二、y", ""), ("■ z", ""), ("3. w", ""), ("plain", "")) == [0, 1, 2, 3, None]
+    rows = [(1, "pump pressure", "one\n\ntwo\n\nthe pump\n\nnext\n\nlast"), (2, "阀门", "一、阀门\n关\n1. a\n二、泵\n开"), (3, "x", " "), (4, "one", "one\n\ntwo\n\nthree"), (5, "x", None), (6, "pump", "the pump " * 400)]
+    part = {r.key: r.text for r in review.focused(spark.createDataFrame(rows, "key int, question string, text string"), claims.content_terms).collect()}
+    assert part[1] == "two\n\nthe pump\n\nnext" and part[2] == "一、阀门\n关\n1. a" and part[3] == " " and part[4] == "one\n\ntwo" and part[5] is None and len(part[6]) == 2200 + 2 and part[6].endswith("...")
 
 
 def test_context(spark):
