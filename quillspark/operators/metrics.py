@@ -17,13 +17,13 @@ CUTS = (1, 3, 5, 10, 15)
 
 def chunk_health(chunks: DataFrame) -> DataFrame:
     """One row of rates, rounded to 6 digits; null for an empty table."""
-    one = chunks.dropDuplicates(["id"])
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    one = chunks.select("id", blank.alias("blank"), "text_hash", "document_version_id", "token_count", "page_no", "section_path").dropDuplicates(["id"])
     rate = lambda n: F.round(F.try_divide(n, F.count("*")), 6)
     complete = F.col("page_no").isNotNull() | (F.coalesce(F.size("section_path"), F.lit(0)) > 0)
     return one.agg(
         F.count("*").alias("chunks"),
-        rate(F.count_if(blank)).alias("empty_rate"),
+        rate(F.count_if("blank")).alias("empty_rate"),
         rate(F.count("*") - F.count_distinct("text_hash")).alias("duplicate_rate"),
         rate(F.count("*") - F.count_distinct("document_version_id", "text_hash")).alias("duplicate_rate_in_document"),
         rate(F.count_distinct("document_version_id", "text_hash") - F.count_distinct("text_hash")).alias("duplicate_rate_across"),
@@ -48,9 +48,10 @@ def index_percentiles(df: DataFrame, value: str) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    """n, mean and interpolated percentiles of a value by group, rounded to 3 digits."""
+    """n, mean and interpolated percentiles of a value by group, rounded to 3 digits; equal values are counted first, groups without any are left out."""
     shares = ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))
-    return df.withColumn("_v", value).groupBy(*by).agg(F.count("_v").alias("n"), *(F.round(e, 3).alias(name) for e, name in ((F.min("_v"), "least"), (F.avg("_v"), "mean"), *((F.percentile("_v", p), name) for p, name in shares), (F.max("_v"), "most"))))
+    counts = df.select(*by, value.alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    return counts.groupBy(*by).agg(F.sum("_c").alias("n"), *(F.round(e, 3).alias(name) for e, name in ((F.min("_v"), "least"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), "mean"), *((F.percentile("_v", p, F.col("_c")), name) for p, name in shares), (F.max("_v"), "most"))))
 
 
 def source_matches(sources: Column, chunk_id: Column, document_id: Column, path: Column) -> Column:
@@ -117,18 +118,30 @@ def common_run(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([longest_common_run(comparable(x), comparable(y)) for x, y in zip(a, b)], dtype="int32")
 
 
+@F.pandas_udf(T.BooleanType())
+def _in_aliases(answer: pd.Series, expected: pd.Series, aliases: pd.Series) -> pd.Series:
+    return pd.Series([comparable(a) in {comparable(x) for x in (e, *(s if s is not None else ()))} for a, e, s in zip(answer, expected, aliases)])
+
+
 def exact_match(answer: Column, expected: Column, aliases: Column) -> Column:
     """Whether an answer is, as compared, the expected one or an alias."""
-    alias = F.transform(F.coalesce(aliases, F.array().cast("array<string>")), lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]+", "")))
-    return (comparable_text(answer) == comparable_text(expected)) | F.array_contains(alias, comparable_text(answer))
+    return _in_aliases(answer, expected, aliases)
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x.isascii() else unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
 def numeric_match(answer: Column, expected: Column) -> Column:
-    """Whether the first numbers, with unit if the expected one has it, agree."""
-    number, unit = r"(-?\d+(?:\.\d+)?)", r"-?\d+(?:\.\d+)?\s*([A-Za-z%°℃]+)"
-    of = lambda c, p: F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), p, 1)
-    value = F.try_to_number(F.nullif(of(answer, number), F.lit("")), F.lit("S99999999999999999D999999")).eqNullSafe(F.try_to_number(F.nullif(of(expected, number), F.lit("")), F.lit("S99999999999999999D999999")))
-    return (of(expected, number) != "") & value & ((of(expected, unit) == "") | (F.lower(of(expected, unit)) == F.lower(of(answer, unit))))
+    """struct<value_correct, unit_correct, both_correct> of the first numbers with their units, full-width ones included; all false where one has no number."""
+    quantity = r"(-?\d+(?:\.\d+)?)\s*([a-zA-Z%/]+)?"  # fixed value
+    part = lambda c, n: F.regexp_extract(_nfkc(c), quantity, n)
+    number = lambda c: F.nullif(part(c, 1), F.lit("")).cast("double")
+    both = number(answer).isNotNull() & number(expected).isNotNull()
+    value = F.coalesce(both & (number(answer) == number(expected)), F.lit(False))
+    unit = F.coalesce(both & (F.lower(part(answer, 2)) == F.lower(part(expected, 2))), F.lit(False))
+    return F.struct(value.alias("value_correct"), unit.alias("unit_correct"), (value & unit).alias("both_correct"))
 
 
 def bigrams(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql.types import StructType
 
 
 class Store:
-    """Tables below a folder; each write goes to a new folder and is published by the manifest when its count is right."""
+    """Tables below a folder. Each write stages its rows in a folder of its own and publishes them by creating the next
+    numbered manifest, which fails if another writer has; readers take the highest, so they see one whole state or the next.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -19,42 +22,53 @@ class Store:
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _manifest(self, name: str) -> dict:
-        at = self._path(f"{self.folder}/{name}/MANIFEST")
+        at = self._path(f"{self.folder}/{name}/manifests")
         if not self._fs.exists(at):
             return {"version": 0}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}/MANIFEST").collect()))
+        numbers = [int(n) for s in self._fs.listStatus(at) if (n := s.getPath().getName()).isdigit()]
+        if not numbers:
+            return {"version": 0}
+        return {"version": max(numbers)} | json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}/manifests/{max(numbers):012d}").collect()))
 
     def read(self, name: str) -> DataFrame:
         now = self._manifest(name)
         if not now["version"]:
             raise FileNotFoundError(f"{self.folder}/{name}")
-        return self.spark.read.schema(StructType.fromJson(now["schema"])).parquet(f"{self.folder}/{name}/v{now['version']}")
-
-    def write(self, name: str, df: DataFrame, expected: int | None = None) -> int:
-        """Stages df, checks its count if one is expected, publishes it; returns the count."""
-        version = self._manifest(name)["version"] + 1
-        to = f"{self.folder}/{name}/v{version}"
-        df.write.mode("overwrite").parquet(to)
+        return self.spark.read.schema(StructType.fromJson(now["schema"])).parquet(f"{self.folder}/{name}/{now['rows_in']}")
+
+    def write(self, name: str, df: DataFrame, expected: int | None = None, upon: int | None = None) -> int:
+        """Stages df, checks its count if one is expected, publishes it as the version after ``upon`` (the one read; by
+        default the newest); returns the count. Raises FileExistsError, and publishes nothing, if that version exists."""
+        version = (self._manifest(name)["version"] if upon is None else upon) + 1
+        rows_in = f"rows-{version}-{uuid.uuid4().hex}"
+        to = f"{self.folder}/{name}/{rows_in}"
+        df.write.parquet(to)
         n = self.spark.read.schema(df.schema).parquet(to).count()
         if expected is not None and n != expected:
             self._fs.delete(self._path(to), True)
             raise ValueError(f"{name}: {n} rows staged, {expected} expected")
-        body = json.dumps({"version": version, "rows": n, "schema": df.schema.jsonValue()})
-        staged = self._path(f"{self.folder}/{name}/MANIFEST.{version}")
-        out = self._fs.create(staged, True)
+        body = json.dumps({"rows": n, "rows_in": rows_in, "schema": df.schema.jsonValue()})
+        draft, final = self._path(f"{to}/_manifest"), self._path(f"{self.folder}/{name}/manifests/{version:012d}")
+        out = self._fs.create(draft, True)
         out.write(bytearray(body.encode()))
         out.close()
-        final = self._path(f"{self.folder}/{name}/MANIFEST")
-        self._fs.delete(final, False)
-        self._fs.rename(staged, final)
+        self._fs.mkdirs(final.getParent())
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(self._path(to), True)
+            raise FileExistsError(f"{name}: version {version} was written by another")
         return n
 
     def upsert(self, name: str, rows: DataFrame, key: str) -> int:
-        """Replaces the rows of the given keys; columns that one side lacks become null."""
-        if not self._manifest(name)["version"]:
-            return self.write(name, rows)
+        """Replaces the rows of the given keys; columns that one side lacks become null. Of new rows of one key the greatest stays."""
+        rest = [c for c in rows.columns if c != key]
+        kinds = dict(rows.dtypes)
+        order = F.struct(*((F.to_json(c) if kinds[c].startswith("map") else F.col(c)).alias(c) for c in rest))
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*") if rest else rows.distinct()
+        now = self._manifest(name)["version"]
+        if not now:
+            return self.write(name, rows, upon=0)
         old = self.read(name).join(rows.select(key).distinct(), key, "left_anti")
-        return self.write(name, old.unionByName(rows, allowMissingColumns=True))
+        return self.write(name, old.unionByName(rows, allowMissingColumns=True), upon=now)
 
     def delete(self, name: str, **equal) -> int:
         """Deletes the rows whose columns have the given values, or one of a list; without any, none. Returns how many."""
