@@ -171,8 +171,9 @@ def candidates(banded: DataFrame, agree: int, hot: int = HOT) -> DataFrame:
     texts one side is parted by hash and the other repeated for each part, so no task holds a hot band.
     """
     banded = banded.repartition("band")
-    counts = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = banded.join(counts.hint("merge"), "band").withColumn("parts", F.ceil(F.col("n") / hot).cast("int"))
+    # Counting cls, not rows, keeps both columns, so that counting and joining read one and the same shuffle.
+    counts = banded.groupBy("band").agg(F.count("cls").alias("n")).filter("n > 1")
+    shared = cut_lineage(banded.join(counts.hint("merge"), "band").select("cls", "band", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
     left = shared.select("band", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), F.col("cls").alias("cls_a"))
     right = shared.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("cls").alias("cls_b"))
     both = left.join(right.hint("merge"), ["band", "part"]).filter("cls_a < cls_b")
