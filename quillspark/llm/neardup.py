@@ -189,7 +189,10 @@ def similar_classes(texts: DataFrame, words: int = WORDS, threshold: float = THR
     """
     bands = bands_needed(threshold, rows, agree, missed)
     found = candidates(texts.select("cls", "text").mapInArrow(_bands(words, bands, rows, multiset), "cls long, band long"), agree, hot)
-    of = lambda x: texts.select(*(F.col(c).alias(f"{c}_{x}") for c in ("cls", "sub", "text")))
+    # Only texts of candidates are gathered again: the semi-join lies below the grouping of the texts.
+    found = cut_lineage(found)
+    needed = texts.join(found.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct(), "cls", "left_semi")
+    of = lambda x: needed.select(*(F.col(c).alias(f"{c}_{x}") for c in ("cls", "sub", "text")))
     similarity = _overlap(words, multiset)(F.col("text_a"), F.col("text_b"))
     out = found.join(of("a"), "cls_a").join(of("b"), "cls_b").select("cls_a", "sub_a", "cls_b", "sub_b", similarity.alias("similarity"))
     return out.filter(F.col("similarity") >= threshold)
