@@ -115,11 +115,11 @@ class BitFilter:
         return cls(bits, words)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of the hashes that may be in the set."""
         shift = np.uint64(64 - self.bits)
-        held = np.ones(len(hashes), bool)
-        for p in (hashes >> shift, (hashes << np.uint64(32)) >> shift):
-            held &= (self.words[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return held
+        here = lambda p: (self.words[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        some = np.flatnonzero(here(hashes >> shift))
+        return some[here((hashes[some] << np.uint64(32)) >> shift)]
 
 
 def _windows(texts: list[str | None], may_part, hashes: WordHashes, span: int, kept: list[list[int]]):
@@ -164,14 +164,14 @@ def _emit(span: int, kept: list[list[int]], compounds, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts, some = WordHashes(), WordHashes(), wanted.value if wanted else None
         pairs = compounds.value if compounds else None
-        may_part = (lambda c: True) if pairs is None else (lambda c: bool(pairs(parts([c]))[0]))
+        may_part = (lambda c: True) if pairs is None else (lambda c: len(pairs(parts([c]))) > 0)
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 flat, at, row, place, by_mask = _windows(part.column("text").to_pylist(), may_part, hashes, span, kept)
                 keys = part.column("key")
                 for h in by_mask:
-                    hit = np.arange(len(h)) if some is None else np.flatnonzero(some(h))
+                    hit = np.arange(len(h)) if some is None else some(h)
                     if not len(hit):
                         continue
                     window = flat[at[hit][:, None] + np.arange(span)].view(np.int64)

@@ -100,9 +100,9 @@ def test_a_full_bit_filter_only_lets_more_pass(spark):
     x = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
     df = spark.createDataFrame([(int(v),) for v in x[:2500].view(np.int64)], "hash long")
     f = leakage.BitFilter.of(df, "hash", 2500)
-    assert f(x[:2500]).all() and f(x[2500:]).mean() < 0.05
+    assert len(f(x[:2500])) == 2500 and len(f(x[2500:])) < 125
     few = leakage.BitFilter.of(df.limit(0), "hash", 0)
-    assert not few(x).any()
+    assert not len(few(x))
 
 
 def _windows(words, n):
