@@ -26,7 +26,7 @@ def documents(versions: DataFrame, records: DataFrame) -> DataFrame:
 def active_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks of active versions of visible documents, one row per id, with document_id, knowledge_base_id, canonical_path."""
     shown = docs.filter("visible and active_version_id is not null").select("document_id", "knowledge_base_id", "canonical_path", F.col("active_version_id").alias("document_version_id"))
-    return chunks.dropDuplicates(["id"]).join(shown, "document_version_id")
+    return chunks.join(shown, "document_version_id").dropDuplicates(["id"])
 
 
 def allowed(document_id: Column, allow: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.functions.words import TOKEN_RE2, token_count
 from quillspark.operators import answers, catalog, context, evalset, metrics, packer, search, sync, tables_qa, terms
+from quillspark.session import cut_lineage
 from quillspark.sources.tables import table
 
 STEP = 100  # of the queries, those whose id is divisible by this ask all rows
@@ -146,7 +147,8 @@ def fused_ranks(s, d):
 def _hits(s, d, requests: DataFrame) -> DataFrame:
     r = table(s, d, "vector_records").select("id", "vector", F.col("payload.knowledge_base_id").alias("knowledge_base_id")).filter("vector is not null and knowledge_base_id is not null").dropDuplicates(["id"])
     # The stored vectors come from a model that isn't here; texts and queries get the hash embedding.
-    embedded = _active(s, d)
+    columns = ("id", "document_version_id", "document_id", "knowledge_base_id", "canonical_path", "chunk_index", "section_path", "content_type", "token_count", "page_no", "text")
+    embedded = cut_lineage(_active(s, d).select(*columns))
     v = embedded.select("id", X.embed(search.indexed_text(embedded)).alias("vector"), "knowledge_base_id", "document_id").join(r.select("id"), "id", "left_semi")
     q = requests.withColumn("vector", X.embed("query"))
     return search.search(q, embedded, _indexed(s, d), v)
