@@ -162,6 +162,16 @@ _AUDIT = f"""{_ONE},
     a AS (SELECT n.id, coalesce(category, 'unknown') AS category, len(p) > 0 AND contains(e, p) AS direct, len(f) > 0 AND contains(q, f) AS file_named, {_COV.format('p', 'e')} AS payload_coverage, {_COV.format('q', 'e')} AS question_coverage,
           coalesce(run, 0) AS longest_run, rank1_methods, coalesce(rank1_relevant, false) AS rank1_relevant FROM n LEFT JOIN runs USING (id) LEFT JOIN hit USING (id)),
     audit AS (SELECT *, direct OR file_named OR payload_coverage >= 0.8 OR question_coverage >= 0.65 OR longest_run >= 12 AS shortcut FROM a)"""
+_BARE = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_LEAK = f"""
+    o AS (SELECT id, min(question) AS question, any_value(relevant_sources) AS s FROM eval_cases GROUP BY id),
+    t AS (SELECT id, question, s, {_BARE.format('question')} AS q, {_BARE.format("array_to_string(list_transform(s, lambda x: x.evidence_text), chr(10))")} AS e FROM o),
+    st AS (SELECT id, q, e, unnest(generate_series(1, len(q))) AS i FROM t),
+    ru AS (SELECT id, max(k) AS run FROM (SELECT id, q, e, i, unnest(generate_series(1, len(q) - i + 1)) AS k FROM st) WHERE contains(e, q[i:i + k - 1]) GROUP BY id),
+    cv AS (SELECT t.id, round(CASE WHEN len(q) < 2 THEN 0 ELSE len(list_intersect(list_distinct(list_transform(generate_series(1, len(q) - 1), lambda i: q[i:i + 1])), list_distinct(list_transform(generate_series(1, len(e) - 1), lambda i: e[i:i + 1]))))
+           / len(list_distinct(list_transform(generate_series(1, len(q) - 1), lambda i: q[i:i + 1]))) END, 6) AS coverage, coalesce(run, 0) AS run,
+           list_bool_or(list_transform(s, lambda x: contains(lower(question), lower(regexp_replace(string_split(x.document_path, '/')[-1], '[.][^.]+$', ''))))) AS file_named FROM t LEFT JOIN ru USING (id)),
+    leak AS (SELECT *, coverage >= 0.65 OR run >= 12 OR coalesce(file_named, false) AS leaks FROM cv)"""
 _COMMON = "(" + ", ".join(f"'{w}'" for w in benchmark.COMMON) + ")"
 _GRAMS = "flatten(list_transform({0}, lambda r: flatten(list_transform([4, 3, 2], lambda n: CASE WHEN len(r) >= n THEN list_transform(generate_series(1, len(r) - n + 1), lambda i: r[i:i + n - 1]) ELSE [] END))))"
 _TERMS = f"""
@@ -211,4 +221,18 @@ SQL = {
     "content_terms": rf"""WITH q AS (SELECT DISTINCT request_id, query FROM search_requests), r AS (SELECT request_id, list_filter(regexp_extract_all(lower(query), '[a-z0-9][a-z0-9_.-]*'), lambda x: len(x) > 1) AS w, regexp_extract_all(query, '[\x{{4e00}}-\x{{9fff}}]+') AS h FROM q),
         t AS (SELECT request_id, unnest(list_distinct(list_concat(w, flatten(list_transform(h, lambda r: CASE WHEN len(r) > 1 THEN list_transform(generate_series(1, len(r) - 1), lambda i: r[i:i + 1]) ELSE [] END))))) AS term FROM r)
         SELECT request_id, term FROM t WHERE term NOT IN ({', '.join(f"'{w}'" for w in claims.STOP)})""",
+    "question_leakage": f"WITH {_LEAK} SELECT id, coverage, run, file_named, leaks FROM leak",
+    "leakage_summary": f"""WITH {_LEAK}, s AS (SELECT count(*) AS cases, round(avg(coverage), 6) AS mean_coverage, max(coverage) AS most_coverage, round(avg(run), 6) AS mean_run, round(avg(leaks::INT), 6) AS shortcut_rate FROM leak)
+        SELECT *, CASE WHEN shortcut_rate >= 0.5 THEN 'LEAKAGE_CONFIRMED' ELSE 'NO_LEAKAGE_CONFIRMED' END AS verdict FROM s""",
+    "ranking_metrics": f"""WITH {R._DOCS}, b AS ({R.SQL['bm25_search'].replace('rank <= 10', 'rank <= 15')}),
+        cs AS (SELECT id AS query_id, coalesce(max(validated), false) AS validated, min(category) AS category, min(relevant_sources) AS s FROM eval_cases GROUP BY id),
+        w AS (SELECT chunk.id, v.document_id, docs.canonical_path AS path FROM chunk LEFT JOIN (SELECT DISTINCT id, document_id FROM document_versions) v ON v.id = chunk.document_version_id LEFT JOIN docs ON docs.document_id = v.document_id),
+        r AS (SELECT b.query_id, b.rank, len(list_filter(s, lambda x: coalesce(x.chunk_id <> '' AND x.chunk_id = w.id, false) OR coalesce(x.document_id <> '' AND x.document_id = w.document_id, false)
+              OR coalesce(x.document_path <> '' AND suffix(replace(w.path, chr(92), '/'), replace(x.document_path, chr(92), '/')), false))) > 0 AS hit FROM b JOIN cs USING (query_id) LEFT JOIN w ON w.id = b.id),
+        k AS (SELECT unnest([1, 3, 5, 10, 15]) AS k),
+        q AS (SELECT query_id, validated, category, coalesce(len(s), 0) AS total, k FROM cs, k),
+        g AS (SELECT q.query_id, validated, category, total, q.k, count(*) FILTER (hit) AS found, min(rank) FILTER (hit) AS first, coalesce(sum(1 / log2(rank + 1.0)) FILTER (hit), 0) AS gain FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.rank <= q.k GROUP BY ALL),
+        m AS (SELECT *, CASE WHEN total > 0 THEN list_sum(list_transform(generate_series(1, least(total, k)), lambda i: 1 / log2(i + 1.0))) END AS ideal FROM g)
+        SELECT validated, category, k, count(*) AS cases, round(avg((found > 0)::INT), 6) AS hit, round(avg(CASE WHEN total > 0 THEN found / total ELSE 0 END), 6) AS recall, round(avg(found / k), 6) AS precision, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(coalesce(gain / ideal, 0)), 6) AS ndcg
+        FROM m GROUP BY 1, 2, 3""",
 }
