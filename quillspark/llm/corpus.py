@@ -62,4 +62,19 @@ SQL = {
         b AS (SELECT a.id AS x, b.id AS y, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
         SELECT x AS chunk_id_a, y AS chunk_id_b FROM b JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE shared >= 0.5 * (p.n + q.n - shared)
         UNION SELECT a.id, b.id FROM w a JOIN w b ON a.w = b.w AND a.id < b.id WHERE len(a.w) BETWEEN 1 AND 2""",
+    # Bags of five-word sequences, every pair that shares one, and all that is reached over pairs of 0.8 or more.
+    "p5_groups": rf"""
+        WITH RECURSIVE r AS (SELECT id, min(text) AS text FROM chunks WHERE deduplicable AND id IS NOT NULL GROUP BY id),
+        m AS (SELECT id, CASE WHEN regexp_matches(text, '[\p{{L}}\p{{N}}]') THEN lower(text) END AS c FROM r),
+        cl AS (SELECT c, min(id) AS least, count(*) AS n FROM m WHERE c IS NOT NULL GROUP BY c),
+        w AS (SELECT c, regexp_extract_all(regexp_replace(c, '([{_HAN}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+') AS w FROM cl),
+        s AS (SELECT c, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+        k AS (SELECT c, s, count(*) AS k FROM s GROUP BY 1, 2), t AS (SELECT c, sum(k) AS t FROM k GROUP BY 1),
+        p AS (SELECT a.c AS x, b.c AS y, sum(least(a.k, b.k)) AS o FROM k a JOIN k b ON a.s = b.s AND a.c < b.c GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN t u ON u.c = x JOIN t v ON v.c = y WHERE o >= 0.8 * (u.t + v.t - o)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        reach AS (SELECT c, c AS d FROM cl UNION SELECT reach.c, e.y FROM reach JOIN e ON reach.d = e.x),
+        g AS (SELECT reach.c, min(least) AS group_id FROM reach JOIN cl ON cl.c = reach.d GROUP BY 1),
+        n AS (SELECT x AS c, count(*) AS links FROM e GROUP BY 1)
+        SELECT id AS chunk_id, coalesce(group_id, id) AS group_id, coalesce(links, 0) AS links, coalesce(cl.n - 1, 0) AS copies FROM m LEFT JOIN cl USING (c) LEFT JOIN g USING (c) LEFT JOIN n USING (c)""",
 }
