@@ -246,13 +246,15 @@ def search(queries: DataFrame, chunks: DataFrame, everything: DataFrame, vectors
     return out.select("query_id", "rank", "id", "document_id", "score", "sources", focused_quote("shown", "weighted").alias("quote"))
 
 
-def field_search(fields: DataFrame, chunks: DataFrame, most: int = 300) -> DataFrame:
+def field_search(fields: DataFrame, chunks: DataFrame, most: int | None = 300) -> DataFrame:
     """Fields (query_id, knowledge_base_id, field) in active chunks: per document matched_chunks, occurrences (case
-    counts), and page, section and excerpt of the first chunk. At most ``most`` chunks of a field, by path, then index."""
+    counts), and page, section and excerpt of the first chunk. At most ``most`` chunks of a field, by path, then index;
+    with None all, for which nothing is sorted."""
     c = chunks.select("id", "document_id", "knowledge_base_id", "canonical_path", "chunk_index", "page_no", "section_path", "text")
     hit = c.join(fields, "knowledge_base_id").filter(contains_like(F.col("text"), F.col("field")))
-    some = top(hit, most, F.col("canonical_path"), F.col("chunk_index"), F.col("id"))
+    order = ("canonical_path", "chunk_index", "id")
+    some = hit if most is None else top(hit, most, *map(F.col, order))
     one = some.withColumn("n", occurrences(F.col("text"), F.col("field"))).withColumn("e", excerpt(F.col("text"), F.col("field")))
-    first = F.min_by(F.struct("page_no", F.array_join("section_path", " / ").alias("section"), "e"), F.col("rank"))
+    first = F.min_by(F.struct("page_no", F.array_join("section_path", " / ").alias("section"), "e"), F.struct(*order))
     out = one.groupBy("query_id", "document_id", "canonical_path").agg(F.count("*").alias("matched_chunks"), F.sum("n").alias("occurrences"), first.alias("f"))
     return out.select("query_id", "document_id", "canonical_path", "matched_chunks", "occurrences", "f.page_no", "f.section", F.col("f.e").alias("excerpt"))

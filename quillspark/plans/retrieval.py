@@ -118,7 +118,7 @@ def field_search(s, d):
     words = s.createDataFrame([(1, "gearbox"), (2, "Pump"), (3, "50 %"), (4, "阀门")], "query_id int, field string")
     bases = table(s, d, "knowledge_bases").select(F.col("id").alias("knowledge_base_id")).distinct()
     fields = words.join(F.broadcast(bases))
-    return search.field_search(fields, _active(s, d), most=1 << 30).select("query_id", "document_id", "matched_chunks", "occurrences")
+    return search.field_search(fields, _active(s, d), most=None).select("query_id", "document_id", "matched_chunks", "occurrences", F.col("page_no").cast("string").alias("page"), "section")
 
 
 def _near_vectors(s, d, *filters: str) -> DataFrame:
@@ -357,7 +357,8 @@ SQL = {
         s AS (SELECT query_id, k.id, k.token_count, k.chunk_index, 20.0 * count(*) AS score FROM q JOIN k ON contains(lower(k.text), lower(w)) GROUP BY ALL)
         SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, token_count, chunk_index, id) AS rank, score FROM s QUALIFY rank <= 10""",
     "field_search": rf"""WITH {_DOCS}, w(query_id, field) AS (VALUES (1, 'gearbox'), (2, 'Pump'), (3, '50 %'), (4, '阀门'))
-        SELECT query_id, document_id, count(*) AS matched_chunks, sum((len(text) - len(replace(text, field, ''))) // len(field)) AS occurrences FROM active JOIN w ON contains(lower(text), lower(field)) GROUP BY 1, 2""",
+        SELECT query_id, document_id, count(*) AS matched_chunks, sum((len(text) - len(replace(text, field, ''))) // len(field)) AS occurrences,
+            arg_min({{'p': page_no}}, {{'c': chunk_index, 'i': id}}).p::VARCHAR AS page, arg_min({{'s': array_to_string(section_path, ' / ')}}, {{'c': chunk_index, 'i': id}}).s AS section FROM active JOIN w ON contains(lower(text), lower(field)) GROUP BY 1, 2""",
     "vector_search": f"WITH {_VECTORS.format(on='true')} SELECT query_id, id, rank, score FROM near",
     "vector_search_filtered": f"WITH {_VECTORS.format(on='a.label = b.label')} SELECT query_id, id, rank, score FROM near",
     "fused_ranks": f"""WITH {_VECTORS.format(on='true')}, l AS (SELECT query_id, id, rank, 'vector' AS source FROM near UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id), 'id' FROM near)
